@@ -22,6 +22,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable instead of a repeated expression)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(_c(c), r"(?U)^\s+|\s+\z", "")
@@ -40,28 +45,32 @@ def unique_id(original_id: Column | str, row: Column | str) -> Column:
 
 def as_text_list(c: Column | str) -> Column:
     """Split on line breaks and semicolons; trimmed, without blanks."""
-    text = strip(F.coalesce(_c(c), F.lit("")))
-    parts = _non_empty(F.transform(F.split(text, "[\n；;]+"), strip))
+
+    def items(text: Column) -> Column:
+        parts = _non_empty(F.transform(F.split(text, "[\n；;]+"), strip))
+        return let(parts, lambda p: _or_whole(text, p, text == ""))
+
+    return let(strip(F.coalesce(_c(c), F.lit(""))), items)
+
+
+def _or_whole(text: Column, parts: Column, empty: Column) -> Column:
+    """The parts; the text itself when nothing is left of it; nothing for an empty text."""
     return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(F.size(parts) > 0, parts)
-        .otherwise(F.array(text))
+        F.when(empty, F.array().cast("array<string>")).when(F.size(parts) > 0, parts).otherwise(F.array(text))
     )
 
 
 def split_cell_items(c: Column | str) -> Column:
     """Like :func:`as_text_list`, with leading item numbers removed."""
-    text = strip(F.coalesce(_c(c), F.lit("")))
-    parts = _non_empty(
-        F.transform(
-            F.split(text, "[\n；;]+"), lambda p: strip(F.regexp_replace(p, r"(?U)^\s*\d+[.、)]\s*", ""))
-        )
-    )
-    return (
-        F.when((text == "") | (F.lower(text) == "nan"), F.array().cast("array<string>"))
-        .when(F.size(parts) > 0, parts)
-        .otherwise(F.array(text))
-    )
+
+    def item(part: Column) -> Column:
+        return strip(F.regexp_replace(part, r"(?U)^\s*\d+[.、)]\s*", ""))
+
+    def items(text: Column) -> Column:
+        parts = _non_empty(F.transform(F.split(text, "[\n；;]+"), item))
+        return let(parts, lambda p: _or_whole(text, p, (text == "") | (F.lower(text) == "nan")))
+
+    return let(strip(F.coalesce(_c(c), F.lit(""))), items)
 
 
 # ---------------------------------------------------------------- cleaning
@@ -73,18 +82,24 @@ def strip_trailing_punct(c: Column | str) -> Column:
 def clean_cell(c: Column | str) -> Column:
     """Normalise line ends and ``_x000D_``; NULL and ``nan`` become the empty text."""
     text = strip(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"\r\n|\r|_x000D_", "\n"))
-    return F.when((text == "") | (F.lower(text) == "nan"), F.lit("")).otherwise(strip_trailing_punct(text))
+    return let(
+        text,
+        lambda t: F.when((t == "") | (F.lower(t) == "nan"), F.lit("")).otherwise(strip_trailing_punct(t)),
+    )
 
 
 def split_numbered_items(c: Column | str) -> Column:
     """Items of a numbered list; a line without a number continues the item before it."""
-    text = clean_cell(c)
-    lines = _non_empty(F.transform(F.split(text, "\n"), strip))
-    body = F.array_join(lines, "\n")
-    marked = F.regexp_replace(body, r"(?Um)^\d+[.、]\s*", SEP)
-    items = F.transform(F.split(marked, SEP), lambda p: strip(F.replace(strip(p), F.lit("\n"), F.lit(" "))))
-    items = F.transform(_non_empty(items), strip_trailing_punct)
-    return F.when(F.size(items) > 0, items).otherwise(F.transform(lines, strip_trailing_punct))
+
+    def items(lines: Column) -> Column:
+        marked = F.regexp_replace(F.array_join(lines, "\n"), r"(?Um)^\d+[.、]\s*", SEP)
+        pieces = F.transform(F.split(marked, SEP), lambda p: strip(F.replace(strip(p), F.lit("\n"), F.lit(" "))))
+        kept = F.transform(_non_empty(pieces), strip_trailing_punct)
+        return let(
+            kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.transform(lines, strip_trailing_punct))
+        )
+
+    return let(_non_empty(F.transform(F.split(clean_cell(c), "\n"), strip)), items)
 
 
 def normalize_header(c: Column | str, position: Column | str | None = None, aliases: dict[int, str] | None = None) -> Column:
@@ -119,7 +134,10 @@ def bracket_items(c: Column | str) -> Column:
 
 def parse_case_record(c: Column | str) -> Column:
     """Struct of a ``Label: value`` record: three scalars and nine bracketed lists."""
-    text = _c(c)
+    return let(_c(c), _record_fields)
+
+
+def _record_fields(text: Column) -> Column:
     fields = []
     for label in V.RECORD_SCALARS:
         value = F.regexp_extract(text, f"(?U){label}:\\s*([^\\n]+)", 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import char_ngrams
-from .scale import first_per_key, small_table
+from .scale import first_per_key
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -101,11 +101,21 @@ def contains_join(
     keys are verified with ``contains``.  Both ways are exact.
     """
     listed = needles.where(F.char_length(needle) > 0)
-    if small_table(listed, max_inline):
-        words = listed.agg(
-            F.array_sort(F.collect_list(F.struct(F.col(needle).alias("_needle"), *needle_id))).alias("w")
-        ).scalar()
-        hits = F.filter(words, lambda w: F.col(text).contains(w["_needle"]))
+    words = listed.select(F.col(needle).alias("_needle"), *needle_id).distinct().limit(max_inline + 1).collect()
+    if not words:
+        kinds = dict(needles.dtypes)
+        return texts.where(F.lit(False)).select(*text_id, *[F.lit(None).cast(kinds[k]).alias(k) for k in needle_id])
+    if len(words) <= max_inline:
+        kinds = dict(needles.dtypes)
+        inline = F.array(
+            *[
+                F.struct(
+                    F.lit(w["_needle"]).alias("_needle"), *[F.lit(w[k]).cast(kinds[k]).alias(k) for k in needle_id]
+                )
+                for w in sorted(words, key=repr)
+            ]
+        )
+        hits = F.filter(inline, lambda w: F.col(text).contains(w["_needle"]))
         found = texts.select(*text_id, F.explode(hits).alias("_hit"))
         return found.select(*text_id, *[F.col("_hit")[k].alias(k) for k in needle_id])
     keyed = listed.select(*needle_id, F.col(needle).alias("_needle"), F.substring(needle, 1, 3).alias("_gram"))

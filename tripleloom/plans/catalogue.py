@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["risk_queries"]
+FAMILIES = ["risk_queries", "text_queries"]
 
 
 def _modules():
@@ -14,12 +14,12 @@ def _modules():
 def queries() -> dict:
     out: dict = {}
     for module in _modules():
-        out.update(module.QUERIES)
+        out.update(module.FAMILY.queries)
     return out
 
 
 def oracle_sql() -> dict:
     out: dict = {}
     for module in _modules():
-        out.update(module.ORACLES)
+        out.update(module.FAMILY.oracles)
     return out

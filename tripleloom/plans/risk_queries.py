@@ -6,19 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import risk, rules
 from . import bindings as B
+from .registry import Family
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
+FAMILY = Family()
+query = FAMILY.query
 
 
 def scenarios(spark, d):

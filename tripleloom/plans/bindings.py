@@ -207,3 +207,95 @@ RISK_CTE = "WITH " + ",".join(
     [COMPLAINTS_SQL, RECALLS_SQL, CANDIDATES_SQL, TESTABLE_SQL, SEVERITY_SQL, GROUPS_SQL, SCORED_SQL]
 )
 CANDIDATE_CTE = "WITH " + ",".join([COMPLAINTS_SQL, RECALLS_SQL, CANDIDATES_SQL, TESTABLE_SQL])
+
+
+# ---------------------------------------------------------------- test cases
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with part attributes; ``pos`` numbers the lines of an order."""
+    from ..operators.scale import numbered
+
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag", "l_linestatus",
+    )
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return numbered(li, ["l_orderkey"], order, "pos").join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+
+
+LINES_SQL = """
+lines AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount,
+         l.l_returnflag, l.l_linestatus, p.p_name, p.p_brand, p.p_type, p.p_size,
+         row_number() OVER (PARTITION BY l.l_orderkey
+           ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) AS pos
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as test cases: brands are preconditions, part types actions, line states expectations."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    sets = (
+        li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_orderkey")
+        .agg(
+            F.array_sort(F.collect_set("p_brand")).alias("preconditions"),
+            F.array_sort(F.collect_set("p_type")).alias("actions"),
+            F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("expected_behaviors"),
+        )
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    none = F.array().cast("array<string>")
+    return orders.join(sets, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("O-"), F.col("o_orderkey")).alias("case_id"),
+        F.concat(F.lit("order "), F.col("o_orderstatus"), F.lit(" of customer "), F.col("o_custkey")).alias("case_name"),
+        F.col("o_orderpriority").alias("test_type"),
+        *[F.coalesce(c, none).alias(c) for c in ("preconditions", "actions", "expected_behaviors")],
+        F.lit("orders").alias("source"),
+        (F.col("o_orderkey") + 1).alias("source_row"),
+    )
+
+
+CASES_SQL = """
+cases AS (
+  SELECT 'O-' || o_orderkey AS case_id, 'order ' || o_orderstatus || ' of customer ' || o_custkey AS case_name,
+         o_orderpriority AS test_type, coalesce(preconditions, []) AS preconditions, coalesce(actions, []) AS actions,
+         coalesce(expected_behaviors, []) AS expected_behaviors, 'orders' AS source, o_orderkey + 1 AS source_row
+  FROM orders LEFT JOIN (
+    SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS preconditions, list_sort(list(DISTINCT p_type)) AS actions,
+           list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS expected_behaviors
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) s ON o_orderkey = l_orderkey)"""
+
+
+# ---------------------------------------------------------------- triples
+def raw_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Customer-ordered-part triples with surface variants, one per order line."""
+    li = lines(spark, d).join(
+        table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    flag = F.col("l_returnflag")
+    return li.select(
+        F.struct("l_orderkey", "pos").alias("row_id"),
+        F.concat(F.lit("customer （"), F.col("o_custkey"), F.when(flag == "A", F.lit("）， ")).otherwise(F.lit(")"))).alias("head"),
+        F.when(flag == "N", F.lit(" ordered。")).otherwise(F.lit("ordered")).alias("relation"),
+        F.concat("p_name", F.when(flag == "R", F.lit("；")).otherwise(F.lit(""))).alias("tail"),
+        F.array(F.concat(F.lit("img"), F.col("l_suppkey"))).alias("sources"),
+        (F.col("l_discount") > 0.08).alias("conflict"),
+        F.when(F.col("l_discount") > 0.08, F.lit("discount")).otherwise(F.lit("")).alias("conflict_note"),
+        F.concat(F.lit("doc"), F.col("l_linenumber")).alias("doc_id"),
+        ((F.col("l_quantity") + 10) / 60).alias("confidence"),
+    )
+
+
+RAW_TRIPLES_SQL = """
+raw_triples AS (
+  SELECT l_orderkey, pos,
+    'customer （' || o_custkey || CASE WHEN l_returnflag = 'A' THEN '）， ' ELSE ')' END AS head,
+    CASE WHEN l_returnflag = 'N' THEN ' ordered。' ELSE 'ordered' END AS relation,
+    p_name || CASE WHEN l_returnflag = 'R' THEN '；' ELSE '' END AS tail,
+    'customer (' || o_custkey || ')' AS kh, 'ordered' AS kr, p_name AS kt,
+    'img' || l_suppkey AS src, l_discount > 0.08 AS conflict,
+    CASE WHEN l_discount > 0.08 THEN 'discount' ELSE '' END AS conflict_note, 'doc' || l_linenumber AS doc_id,
+    (l_quantity + 10) / 60 AS confidence
+  FROM lines JOIN orders ON l_orderkey = o_orderkey)"""

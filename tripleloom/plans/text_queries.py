@@ -278,8 +278,10 @@ def repair_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.repair_text("text")).alias("text_md5"))
 
 
-def grams_sql(t: str, n: int) -> str:
-    return f"list_transform(range(1, length({t}) - {n - 2}), lambda i: substr({t}, i, {n}))"
+def grams_sql(chars: str, n: int) -> str:
+    """n-grams of a list of characters."""
+    body = " || ".join(f"{chars}[i + {k}]" if k else f"{chars}[i]" for k in range(n))
+    return f"list_transform(range(1, len({chars}) - {n - 2}), lambda i: {body})"
 
 
 TOKENS_SQL = r"""list_distinct(regexp_extract_all({t}, '[a-z0-9_]{{2,}}|[\x{{4e00}}-\x{{9fff}}]{{2,}}')
@@ -294,7 +296,7 @@ def tokens_sql(lowered: str, compact: str) -> str:
 
 @query(
     "lexical_tokens",
-    rf"""WITH t AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '\s+', '', 'g') AS c FROM documents),
+    rf"""WITH t AS (SELECT doc_id, lower(text) AS t, string_split(regexp_replace(lower(text), '\s+', '', 'g'), '') AS c FROM documents),
          k AS (SELECT doc_id, list_sort({tokens_sql('t', 'c')}) AS tokens FROM t)
          SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, '|')) AS tokens_md5 FROM k""",
 )

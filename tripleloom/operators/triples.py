@@ -28,50 +28,56 @@ def _pairs(*arrays: Column) -> Column:
 
 
 # ---------------------------------------------------------------- extraction
-def lock_triples(cases: DataFrame, keep: Sequence[str], record: str = "case") -> DataFrame:
-    """Triples of parsed lock-template records, with their place ``pos`` in the record."""
+def with_lock_triples(cases: DataFrame, keep: Sequence[str], record: str = "case", name: str = "triples") -> DataFrame:
+    """Parsed lock-template records with the list of their triples, in template order."""
     r = F.col(record)
-    name, kind = r["test_case_name"], F.concat(r["test_case_type"], F.lit("测试用例"))
+    title, kind = r["test_case_name"], F.concat(r["test_case_type"], F.lit("测试用例"))
     conditions = _pairs(r["precondition_signals"], r["precondition_values"])
     composite = F.array_join(
         F.transform(conditions, lambda x: F.concat(x["a"], F.lit("："), T.extract_value(x["b"]))), "，"
     )
     prepared = cases.select(*keep, r.alias(record), composite.alias("_composite"))
-    r, composite = F.col(record), F.col("_composite")
-
-    def per_step(items: Column, first) -> Column:
-        return F.flatten(F.transform(items, first))
-
+    composite = F.col("_composite")
     rows = F.concat(
         F.array(
             _triple(kind, "属于类型", "离车上锁功能测试"),
-            _triple(name, "是", kind),
-            _triple(name, "验证逻辑", r["test_case_logic"]),
+            _triple(title, "是", kind),
+            _triple(title, "验证逻辑", r["test_case_logic"]),
         ),
-        F.transform(r["preconditions"], lambda x: _triple(name, "需要前提条件", x)),
+        F.transform(r["preconditions"], lambda x: _triple(title, "需要前提条件", x)),
         F.transform(
             _pairs(r["preconditions"], r["precondition_signals"]), lambda x: _triple(x["a"], "对应信号", x["b"])
         ),
         F.transform(conditions, lambda x: _triple(x["a"], "预期值", T.extract_value(x["b"]))),
-        F.array(_triple(name, "需要复合条件", composite)),
-        per_step(
-            _pairs(r["actions"], r["action_signals"], r["action_values"]),
-            lambda x: F.array(
-                _triple(composite, "执行动作", x["a"]),
-                _triple(x["a"], "关联信号", x["b"]),
-                _triple(x["b"], "动作值", T.extract_value(x["c"])),
-            ),
+        F.array(_triple(title, "需要复合条件", composite)),
+        F.flatten(
+            F.transform(
+                _pairs(r["actions"], r["action_signals"], r["action_values"]),
+                lambda x: F.array(
+                    _triple(composite, "执行动作", x["a"]),
+                    _triple(x["a"], "关联信号", x["b"]),
+                    _triple(x["b"], "动作值", T.extract_value(x["c"])),
+                ),
+            )
         ),
-        per_step(
-            _pairs(r["expectations"], r["expectation_signals"], r["expectation_values"]),
-            lambda x: F.array(
-                _triple(name, "预期行为", x["a"]),
-                _triple(x["a"], "对应信号", x["b"]),
-                _triple(x["b"], "预期值", T.extract_value(x["c"])),
-            ),
+        F.flatten(
+            F.transform(
+                _pairs(r["expectations"], r["expectation_signals"], r["expectation_values"]),
+                lambda x: F.array(
+                    _triple(title, "预期行为", x["a"]),
+                    _triple(x["a"], "对应信号", x["b"]),
+                    _triple(x["b"], "预期值", T.extract_value(x["c"])),
+                ),
+            )
         ),
     )
-    return prepared.select(*keep, F.posexplode(rows).alias("pos", "_t")).select(*keep, "pos", "_t.*")
+    return prepared.select(*keep, record, rows.alias(name))
+
+
+def lock_triples(cases: DataFrame, keep: Sequence[str], record: str = "case") -> DataFrame:
+    """Triples of parsed lock-template records, with their place ``pos`` in the record."""
+    listed = with_lock_triples(cases, keep, record)
+    return listed.select(*keep, F.posexplode("triples").alias("pos", "_t")).select(*keep, "pos", "_t.*")
 
 
 GROUP_FIELDS = ["编号", "编号名称", "标题", "P11L_M2", "S12L_M1", "P基线", "SOP基线", "备注"]

@@ -134,10 +134,7 @@ def bracket_items(c: Column | str) -> Column:
 
 def parse_case_record(c: Column | str) -> Column:
     """Struct of a ``Label: value`` record: three scalars and nine bracketed lists."""
-    return let(_c(c), _record_fields)
-
-
-def _record_fields(text: Column) -> Column:
+    text = _c(c)
     fields = []
     for label in V.RECORD_SCALARS:
         value = F.regexp_extract(text, f"(?U){label}:\\s*([^\\n]+)", 1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import char_ngrams
+from ..session import materialise
 from .scale import first_per_key
 
 Rules = Sequence[tuple[str, Sequence[str]]]
@@ -80,7 +81,7 @@ def refine_component(
     return F.when(known, comp).otherwise(F.coalesce(first_rule([_upper(summary)], rules), F.lit(V.UNCATEGORIZED)))
 
 
-MAX_NEEDLES_INLINE = 1_000
+MAX_NEEDLES_INLINE = 200
 
 
 def contains_join(
@@ -96,12 +97,13 @@ def contains_join(
 
     Up to ``max_inline`` needles (checked) travel with the plan as one array and
     each text is tested in place, without any shuffle of the texts.  More needles
-    are looked up by their first three characters (fewer when shorter): a text is
-    exploded into its distinct n-grams of those lengths, joined on them, and equal
-    keys are verified with ``contains``.  Both ways are exact.
+    are looked up by the trigram they share with the fewest other needles (the
+    whole needle when shorter): a text is exploded into its distinct n-grams of
+    those lengths, joined on them, and verified with ``contains``.  Both ways are
+    exact.
     """
     listed = needles.where(F.char_length(needle) > 0)
-    words = listed.select(F.col(needle).alias("_needle"), *needle_id).distinct().limit(max_inline + 1).collect()
+    words = listed.select(F.col(needle).alias("_nt"), *needle_id).distinct().limit(max_inline + 1).collect()
     if not words:
         kinds = dict(needles.dtypes)
         return texts.where(F.lit(False)).select(*text_id, *[F.lit(None).cast(kinds[k]).alias(k) for k in needle_id])
@@ -110,23 +112,30 @@ def contains_join(
         inline = F.array(
             *[
                 F.struct(
-                    F.lit(w["_needle"]).alias("_needle"), *[F.lit(w[k]).cast(kinds[k]).alias(k) for k in needle_id]
+                    F.lit(w["_nt"]).alias("_nt"), *[F.lit(w[k]).cast(kinds[k]).alias(k) for k in needle_id]
                 )
                 for w in sorted(words, key=repr)
             ]
         )
-        hits = F.filter(inline, lambda w: F.col(text).contains(w["_needle"]))
+        hits = F.filter(inline, lambda w: F.col(text).contains(w["_nt"]))
         found = texts.select(*text_id, F.explode(hits).alias("_hit"))
         return found.select(*text_id, *[F.col("_hit")[k].alias(k) for k in needle_id])
-    keyed = listed.select(*needle_id, F.col(needle).alias("_needle"), F.substring(needle, 1, 3).alias("_gram"))
+    own = F.when(F.char_length("_nt") < 3, F.array("_nt")).otherwise(F.array_distinct(char_ngrams(F.col("_nt"), 3)))
+    each = listed.select(*needle_id, F.col(needle).alias("_nt")).withColumn("_gram", F.explode(own))
+    spread = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = materialise(
+        each.join(spread, "_gram")
+        .groupBy(*needle_id, "_nt")
+        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    )
     sizes = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]  # at most 1, 2, 3
     prefixes = keyed.select("_gram").distinct()
     grams = F.array_distinct(F.concat(*[char_ngrams(F.col(text), n) for n in sorted(sizes)]))
     probe = (
-        texts.select(*text_id, F.col(text).alias("_text"), F.explode(grams).alias("_gram"))
+        texts.select(*text_id, F.col(text).alias("_tt"), F.explode(grams).alias("_gram"))
         .join(prefixes, "_gram", "left_semi")
         .join(keyed, "_gram")
-        .where(F.col("_text").contains(F.col("_needle")))
+        .where(F.col("_tt").contains(F.col("_nt")))
     )
     return probe.select(*text_id, *needle_id)
 

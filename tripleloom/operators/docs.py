@@ -120,17 +120,25 @@ def merge_tiny(sections: DataFrame, short: int = 40) -> DataFrame:
 
 # ---------------------------------------------------------------- tables
 def extract_tables(df: DataFrame, keys: Sequence[str], html: str = "content") -> DataFrame:
-    """Rows of the HTML tables of each text, also of tables that are cut off: keys, table_no, row_no, cells."""
-    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table.*?(?:</table>|\z)"), F.lit(0))
+    """Rows of the HTML tables of each text: keys, table_no, row_no, cells.
+
+    A text with a closed table yields its closed tables, with the character data of
+    their cells; only a text without any yields the tables that are cut off.
+    """
+    closed = F.col(html).rlike("(?i)</table")
+    tables = F.when(closed, F.regexp_extract_all(html, F.lit(r"(?is)<table.*?</table>"), F.lit(0))).otherwise(
+        F.regexp_extract_all(html, F.lit(r"(?is)<table.*\z"), F.lit(0))
+    )
     rows = F.regexp_extract_all("_table", F.lit(r"(?is)<tr.*?(?:</tr>|\z)"), F.lit(0))
     cells = F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh][^>]*>(.*?)(?=<t[dh][^>]*>|</tr>|\z)"), F.lit(1))
     exploded = (
         df.where(F.col(html).rlike("(?i)<table"))
-        .select(*keys, F.posexplode(tables).alias("_t", "_table"))
-        .select(*keys, "_t", F.posexplode(rows).alias("_r", "_row"))
-        .select(*keys, "_t", "_r", F.posexplode(cells).alias("_c", "_cell"))
+        .select(*keys, closed.alias("_closed"), F.posexplode(tables).alias("_t", "_table"))
+        .select(*keys, "_closed", "_t", F.posexplode(rows).alias("_r", "_row"))
+        .select(*keys, "_closed", "_t", "_r", F.posexplode(cells).alias("_c", "_cell"))
     )
-    cell = T.compact_text(F.regexp_replace("_cell", r"(?i)/t[dh]>\s*\z", ""))
+    data = F.regexp_replace(F.regexp_replace("_cell", r"(?is)</t[dh]\s*>.*\z", ""), r"<[^>]+>", "")
+    cell = T.compact_text(F.when(F.col("_closed"), data).otherwise(F.regexp_replace("_cell", r"(?i)<?/t[dh]>\s*\z", "")))
     grouped = (
         exploded.withColumn("_cell", cell)
         .groupBy(*keys, "_t", "_r")
@@ -195,6 +203,7 @@ def _has_key(key: str):
 def signals(tables: DataFrame, keys: Sequence[str] = ("document_id", "section_id", "section_title")) -> DataFrame:
     """Signals of the signal tables: name, sender, receiver, communication, encoding, raw row."""
     keys = list(keys)
+    tables = materialise(tables)
     heads = _table_heads(tables, keys).where("is_signal").select(*keys, "table_no", _headers(F.col("_row1")).alias("_h"))
     rows = tables.where(F.col("row_no") > 1).join(heads, [*keys, "table_no"]).withColumn("_e", _entries(F.col("_h"), F.col("cells")))
     name = F.coalesce(_first_value("_e", V.SIGNAL_NAME_KEYS), F.get("cells", 0))
@@ -237,6 +246,7 @@ def requirement_units(tables: DataFrame, keys: Sequence[str] = ("document_id", "
     """Requirement units of the tables: one per data row, or one per vertical (label, value) table."""
     keys = list(keys)
     table_key = [*keys, "table_no"]
+    tables = materialise(tables)
     heads = _table_heads(tables, keys).where((F.col("_rows") >= 2) & ~_matches(F.coalesce("section_title", F.lit("")), V.LOW_VALUE_TITLES))
     vertical = (F.col("_rows") >= 3) & (F.size("_row1") >= 2) & F.get("_row1", 0).isin(V.VERTICAL_HEADERS)
     second = F.exists("_row2", lambda c: field_for_key(c).isin("expected_results", "hmi_display", "status_feedback"))
@@ -251,14 +261,14 @@ def requirement_units(tables: DataFrame, keys: Sequence[str] = ("document_id", "
         *table_key, "has_field", vertical.alias("vertical"), multi.alias("multi"),
         F.when(multi, F.slice(joined, F.lit(1), F.size("_row3"))).otherwise(_headers(F.col("_row1"))).alias("_h"),
     )
-    rows = tables.join(heads, table_key)
+    rows = materialise(tables.join(heads, table_key))
 
     down = rows.where(F.col("vertical") & (F.col("row_no") > 1) & (F.size("cells") >= 2)).select(
         *table_key, "row_no", field_for_key(F.get("cells", 0)).alias("field"),
         F.array_join(F.filter(F.slice("cells", F.lit(2), F.size("cells")), lambda c: c != ""), "; ").alias("value"),
     ).where(F.col("field").isNotNull() & (F.col("value") != "") & ~F.col("value").isin(V.EMPTY_CELLS))
     record_hits = down.groupBy(*table_key).agg(F.count(F.lit(1)).alias("_hits")).where(F.col("_hits") >= 2).select(*table_key)
-    records = _units(down.join(record_hits, table_key, "left_semi").withColumn("row_index", F.lit(None).cast("long")).withColumn("_at", F.col("row_no").cast("int")), table_key, "table_record")
+    records = materialise(_units(down.join(record_hits, table_key, "left_semi").withColumn("row_index", F.lit(None).cast("long")).withColumn("_at", F.col("row_no").cast("int")), table_key, "table_record"))
 
     skip = F.when(F.col("multi"), 2).otherwise(1)
     across = (
@@ -273,6 +283,7 @@ def requirement_units(tables: DataFrame, keys: Sequence[str] = ("document_id", "
     cells = across.select(*table_key, "row_index", F.posexplode("_e").alias("_at", "_cell")).select(
         *table_key, "row_index", "_at", field_for_key(F.col("_cell.key")).alias("field"), F.col("_cell.value").alias("_v")
     ).where(F.col("field").isNotNull())
+    cells = materialise(cells)
     usable = F.when((F.col("_v") != "") & ~F.col("_v").isin(V.EMPTY_CELLS), F.col("_v"))
     carried = carry_last(
         cells.withColumn("_last", usable), [*table_key, "field"], [F.col("row_index"), F.col("_at")], ["_last"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["risk_queries", "text_queries", "triple_queries", "version_queries", "case_queries", "retrieval_queries", "doc_queries"]
+FAMILIES = ["risk_queries", "text_queries", "triple_queries", "version_queries", "case_queries", "retrieval_queries", "doc_queries", "source_queries"]
 
 
 def _modules():

@@ -78,7 +78,7 @@ def spec_sections(spark, d):
     joined = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     content = F.concat(
         F.lit("intro\n<table border=1><tr><th>Signal Name</th><th>发送方</th><th>信号编码</th></tr>\n"), F.col("s"),
-        F.lit("</table>\ntext\n<TABLE><tr><th>前提条件</th><th>触发条件</th><th>HMI显示</th><th>备注</th></tr>\n"), F.col("u"), F.lit("</table>"),
+        F.lit("</table>\ntext\n<TABLE><tr><th>前提条件</th><th>触发条件</th><th>HMI</th><th>备注</th></tr>\n"), F.col("u"), F.lit("</table>"),
     )
     return joined.select(
         F.concat(F.lit("C"), F.col("o_custkey")).alias("document_id"), F.col("o_orderkey").cast("string").alias("section_id"),
@@ -102,16 +102,16 @@ def spec_tables(spark, d):
 
 @query(
     "extract_tables",
-    f"""WITH {SPEC_SQL} SELECT document_id, section_id, table_no, row_no, cells FROM (
+    f"""WITH {SPEC_SQL} SELECT document_id, section_id, CAST(table_no AS BIGINT) AS table_no, row_no, cells FROM (
           SELECT document_id, section_id, 1 AS table_no, pos + 1 AS row_no, 'sig' || l_partkey || '|' || p_brand || ' & co|ENC' || l_suppkey AS cells FROM spec
           UNION ALL SELECT document_id, section_id, 2, pos + 1, CASE WHEN blank THEN '' ELSE p_brand END || '|when sig' || l_partkey || ' is ' || l_returnflag || '|'
             || CASE WHEN l_linestatus = 'O' THEN '-' ELSE 'lamp on' END || '|' || p_type FROM spec
           UNION ALL SELECT DISTINCT document_id, section_id, 1, 1, 'Signal Name|发送方|信号编码' FROM spec
-          UNION ALL SELECT DISTINCT document_id, section_id, 2, 1, '前提条件|触发条件|HMI显示|备注' FROM spec)""",
+          UNION ALL SELECT DISTINCT document_id, section_id, 2, 1, '前提条件|触发条件|HMI|备注' FROM spec)""",
 )
 def extract_tables(spark, d):
     out = spec_tables(spark, d)
-    return out.select("document_id", "section_id", "table_no", "row_no", F.array_join(F.transform("cells", lambda c: F.regexp_replace(c, " +", " ")), "|").alias("cells"))
+    return out.select("document_id", "section_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query(
@@ -135,11 +135,11 @@ def units(spark, d):
     return D.requirement_units(spec_tables(spark, d))
 
 
-@query("requirement_units", f"WITH {SPEC_SQL}, {UNITS_SQL} SELECT document_id, unit_id, function, preconditions, regexp_replace(triggers, ' +', ' ', 'g') AS triggers, hmi_display, remarks FROM units")
+@query("requirement_units", f"WITH {SPEC_SQL}, {UNITS_SQL} SELECT document_id, unit_id, function, preconditions, triggers, hmi_display, remarks FROM units")
 def requirement_units(spark, d):
     out = units(spark, d)
     return out.select(
-        "document_id", "unit_id", "function", "preconditions", F.regexp_replace("triggers", " +", " ").alias("triggers"), "hmi_display", "remarks"
+        "document_id", "unit_id", "function", "preconditions", "triggers", "hmi_display", "remarks"
     )
 
 
@@ -317,7 +317,7 @@ def generation_plan(spark, d):
 
     planned = D.with_intents(units(spark, d)).withColumns(
         {
-            "group_id": F.col("section_id"), "seq": F.col("row_index"), "triggers": F.regexp_replace("triggers", " +", " "),
+            "group_id": F.col("section_id"), "seq": F.col("row_index"),
             "related_signals": F.array().cast("array<struct<rank:bigint,name:string,signal_id:string>>"),
         }
     )

@@ -27,9 +27,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+WHITE = "".join(
+    chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def _non_empty(items: Column) -> Column:
@@ -76,7 +81,7 @@ def split_cell_items(c: Column | str) -> Column:
 # ---------------------------------------------------------------- cleaning
 def strip_trailing_punct(c: Column | str) -> Column:
     """Remove Chinese and Western punctuation at the end, with the blanks before it."""
-    return F.regexp_replace(strip(c), f"(?U)[\\s\u3000]*[{V.TRAILING_PUNCTUATION}]+\\z", "")
+    return F.rtrim(F.rtrim(strip(c), F.lit(V.TRAILING_PUNCTUATION)), F.lit(WHITE))
 
 
 def clean_cell(c: Column | str) -> Column:
@@ -129,7 +134,7 @@ def bracket_items(c: Column | str) -> Column:
     """``[1]a。[2]b`` to ``[a, b]``."""
     found = F.regexp_extract_all(_c(c), F.lit(r"\[\d+\][^\[]*"), F.lit(0))
     body = F.transform(found, lambda x: strip(F.regexp_replace(x, r"(?s)^[^\]]*\]", "")))
-    return F.transform(body, lambda x: F.regexp_replace(x, f"[{V.TRAILING_PUNCTUATION}、]+\\z", ""))
+    return F.transform(body, lambda x: F.rtrim(x, F.lit(V.TRAILING_PUNCTUATION + "、")))
 
 
 def parse_case_record(c: Column | str) -> Column:

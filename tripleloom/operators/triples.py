@@ -155,29 +155,34 @@ def case_triples(cases: DataFrame, key: str = "case_id") -> DataFrame:
 # ---------------------------------------------------------------- sanitising
 def expand_tail(relation: Column, tail: Column, table_type: Column) -> Column:
     """Conditions of one tail: numbered list, conjunction, or the tail itself."""
-    whole = T.normalize_term(tail)
-    single = F.filter(F.array(whole), lambda x: x != "")
-    body = T.strip(F.regexp_replace(whole, V.ENUMERATION_PREFIX, ""))
-    numbered_parts = F.transform(
-        F.split(body, r"(?U)(?=\d+[.、]\s*)"),
-        lambda p: T.normalize_term(
-            F.btrim(F.regexp_replace(p, r"(?sU)^(.*?)\d+[.、]\s*", "$1"), F.lit(" ；;，,"))
-        ),
-    )
-    joined_parts = F.transform(
-        F.split(F.regexp_replace(whole, "[；;]", " && "), r"(?U)\s*(?:&&|并且|且)\s*"), T.normalize_term
-    )
-    listed = F.filter(numbered_parts, lambda x: x != "")
-    joint = F.filter(joined_parts, lambda x: x != "")
-    enumerated = whole.rlike(V.ENUMERATION_PREFIX) | whole.rlike(r"(?U)\d+[.、]")
-    conjunctive = whole.rlike("&&|并且|且|;|；")
     splittable = (table_type != V.STRUCTURE_TABLE) & relation.isin(V.SPLIT_RELATIONS)
-    return (
-        F.when(~splittable, single)
-        .when(enumerated & (F.size(listed) > 1), listed)
-        .when(conjunctive & (F.size(joint) > 1), joint)
-        .otherwise(single)
-    )
+
+    def single(whole: Column) -> Column:
+        return F.filter(F.array(whole), lambda x: x != "")
+
+    def listed(whole: Column) -> Column:
+        body = T.strip(F.regexp_replace(whole, V.ENUMERATION_PREFIX, ""))
+        parts = F.transform(
+            F.split(body, r"(?U)(?=\d+[.、]\s*)"),
+            lambda p: T.normalize_term(F.btrim(F.regexp_replace(p, r"(?sU)^(.*?)\d+[.、]\s*", "$1"), F.lit(" ；;，,"))),
+        )
+        return F.filter(parts, lambda x: x != "")
+
+    def joint(whole: Column) -> Column:
+        parts = F.split(F.regexp_replace(whole, "[；;]", " && "), r"(?U)\s*(?:&&|并且|且)\s*")
+        return F.filter(F.transform(parts, T.normalize_term), lambda x: x != "")
+
+    def several(parts: Column, otherwise: Column) -> Column:
+        return T.let(parts, lambda p: F.when(F.size(p) > 1, p).otherwise(otherwise))
+
+    def expand(whole: Column) -> Column:
+        enumerated = whole.rlike(V.ENUMERATION_PREFIX) | whole.rlike(r"(?U)\d+[.、]")
+        conjunctive = whole.rlike("&&|并且|且|;|；")
+        by_and = F.when(conjunctive, several(joint(whole), single(whole))).otherwise(single(whole))
+        by_list = F.when(enumerated, several(listed(whole), by_and)).otherwise(by_and)
+        return F.when(splittable, by_list).otherwise(single(whole))
+
+    return T.let(T.normalize_term(tail), expand)
 
 
 def sanitize_triples(

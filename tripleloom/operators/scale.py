@@ -18,6 +18,11 @@ from ..session import materialise
 MAX_GROUP_ROWS = 2_000_000
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep costly columns from being computed again by every expression that uses them."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], latest: bool = False) -> DataFrame:
     """One row per key: the one with the smallest (or, ``latest``, largest) order."""
     rest = [c for c in df.columns if c not in keys]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from .scale import carry_last, first_per_key, numbered, top_k_per_key
+from .scale import carry_last, computed_once, first_per_key, numbered, top_k_per_key
 
 TRIPLE = ["head", "relation", "tail"]
 
@@ -30,13 +30,14 @@ def _pairs(*arrays: Column) -> Column:
 # ---------------------------------------------------------------- extraction
 def with_lock_triples(cases: DataFrame, keep: Sequence[str], record: str = "case", name: str = "triples") -> DataFrame:
     """Parsed lock-template records with the list of their triples, in template order."""
+    cases = computed_once(cases.select(*keep, record))
     r = F.col(record)
     title, kind = r["test_case_name"], F.concat(r["test_case_type"], F.lit("测试用例"))
     conditions = _pairs(r["precondition_signals"], r["precondition_values"])
     composite = F.array_join(
         F.transform(conditions, lambda x: F.concat(x["a"], F.lit("："), T.extract_value(x["b"]))), "，"
     )
-    prepared = cases.select(*keep, r.alias(record), composite.alias("_composite"))
+    prepared = computed_once(cases.select(*keep, r.alias(record), composite.alias("_composite")))
     composite = F.col("_composite")
     rows = F.concat(
         F.array(
@@ -97,6 +98,7 @@ def grouped_triples(rows: DataFrame, source: str = "source", row: str = "row") -
     for c in GROUP_FIELDS + ROW_FIELDS:
         if c not in fields:
             clean = clean.withColumn(c, F.lit(""))
+    clean = computed_once(clean)
     cell = {c: F.col(f"`{c}`") for c in GROUP_FIELDS + ROW_FIELDS}
     filled = clean.where(F.concat(*cell.values()) != "")
     is_new = (cell["编号"] != "") | (cell["编号名称"] != "") | (cell["标题"] != "")

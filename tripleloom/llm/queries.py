@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import quality_rules
+from . import language_id, quality_rules
 from .common import read
 
 FAMILY = Family()
@@ -15,3 +15,8 @@ FAMILY = Family()
 @FAMILY.query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@FAMILY.query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import language_id, quality_rules
+from . import language_id, quality_rules, sharding
 from .common import read
 
 FAMILY = Family()
@@ -20,3 +20,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FAMILY.query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
+@FAMILY.query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))

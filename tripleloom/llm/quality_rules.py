@@ -32,7 +32,7 @@ SYMBOLS = b"#*$%&|<>"
 CLASSES = 9
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 10, 5, 20
 #: Distances (0 to 1) above which a document is unlike every reference, and the sizes from which they are asked for.
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.33, 200
 MAX_WORD_DISTANCE, MIN_WORDS_DIVERGENCE = 0.25, 50
 
 

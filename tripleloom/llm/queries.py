@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import language_id, quality_rules, sharding
+from . import language_id, packing, quality_rules, sharding
 from .common import read
 
 FAMILY = Family()
@@ -25,3 +26,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FAMILY.query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+@FAMILY.query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import language_id, packing, quality_rules, sharding
+from . import byte_bpe, language_id, packing, quality_rules, sharding
 from .common import read
 
 FAMILY = Family()
@@ -31,3 +31,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FAMILY.query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@FAMILY.query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), vocabulary, with_decoded=True))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, quality_rules, sharding
+from . import byte_bpe, language_id, packing, quality_rules, sharding, simhash
 from .common import read
 
 FAMILY = Family()
@@ -37,3 +37,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), vocabulary, with_decoded=True))
+
+
+@FAMILY.query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, quality_rules, sharding, simhash
+from . import byte_bpe, language_id, packing, quality_rules, sharding, simhash, warc
 from .common import read
 
 FAMILY = Family()
@@ -43,3 +43,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@FAMILY.query("op8_warc_bundles", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+    t AS (SELECT payload_digest, max(page_id) AS target FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN target IS NULL OR target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN target <> page_id THEN target END AS refers_to
+    FROM d LEFT JOIN t USING (payload_digest)""")
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).drop("url")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tripleloom.session import materialise
 
-__all__ = ["fresh", "in_chunks", "is_fold", "map_texts", "materialise", "read", "row_number_salted"]
+__all__ = ["bounded_sample", "filter_rows", "fresh", "hash_share", "in_chunks", "is_fold", "map_texts", "materialise", "read", "row_number_salted"]
 
 CHUNK_BYTES = 1 << 20
 
@@ -45,7 +45,7 @@ def in_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, text: str, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow whose function sees small batches, so that memory stays bounded however long the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,3 +67,26 @@ def row_number_salted(df: DataFrame, key: str, order: list[str], out: str, salts
     joined = salted.join(offsets, salted[key].eqNullSafe(offsets[f"{key}{salt}"]) & (salted[salt] == offsets[f"{salt}_r"]))
     inside = F.row_number().over(Window.partitionBy(key, salt).orderBy(*order))
     return joined.withColumn(out, (inside - 1 + F.col(before)).cast("long")).select(*df.columns, out)
+
+
+def filter_rows(df: DataFrame, text: str, keep: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """Rows that a function of small batches keeps, all columns as they were; `keep()` is called once per task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return map_texts(df, text, work, df.schema)
+
+
+def hash_share(*columns: str) -> Column:
+    """A number from 0 to 1 that follows from the columns."""
+    return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+
+
+def bounded_sample(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """At most `limit` rows in the order of a hash of the columns; a share test first, so that few rows meet in the last step."""
+    share = min(1.0, 3 * limit / max(1, df.count()))
+    order = fresh("order")
+    return df.withColumn(order, hash_share(*columns)).where(F.col(order) < share).orderBy(order, *columns).limit(limit).drop(order)

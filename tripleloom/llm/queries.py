@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, quality_rules, sharding, simhash, warc
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, sharding, simhash, warc
 from .common import read
 
 FAMILY = Family()
@@ -54,3 +54,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d LEFT JOIN t USING (payload_digest)""")
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).drop("url")
+
+
+@FAMILY.query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

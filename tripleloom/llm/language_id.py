@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, is_fold, map_texts
+from .common import fresh, hash_share, is_fold, map_texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -73,10 +73,13 @@ class Model:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
     """Fit on at most `sample` rows of `docs`; None if no row has an id, a language and a text with letters."""
-    rank, order, gram_column = fresh("rank"), fresh("order"), fresh("grams")
-    keys = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).dropna().withColumn(order, F.xxhash64("doc_id"))
-    ranked = keys.withColumn(rank, F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col(rank) <= sample)
-    picked = ranked.orderBy(rank, order, "doc_id", "lang").limit(sample).select("doc_id", "lang")
+    rank, share, gram_column = fresh("rank"), fresh("share"), fresh("grams")
+    keys = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).dropna()
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(landmarks)  # as many languages as can have a landmark
+    each = -(-sample // max(1, sizes.count()))
+    few = keys.withColumn(share, hash_share("doc_id")).join(F.broadcast(sizes), "lang").where(F.col(share) * F.col("n") < 3 * each)
+    ranked = few.withColumn(rank, F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id"))).where(F.col(rank) <= each)
+    picked = ranked.orderBy(rank, share, "doc_id", "lang").limit(sample).select("doc_id", "lang")
     # at most `sample` narrow rows
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(picked.distinct()), ["doc_id", "lang"], "left_semi")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, sharding, simhash, warc
+from . import byte_bpe, language_id, packing, ppm, quality_classifier, quality_rules, sharding, simhash, warc
 from .common import read
 
 FAMILY = Family()
@@ -59,3 +59,8 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FAMILY.query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@FAMILY.query("op1_ppm_lm_scoring")
+def op1_ppm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(read(spark, sf_dir, "documents"))

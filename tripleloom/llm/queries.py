@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, ppm, quality_classifier, quality_rules, sharding, simhash, warc
+from . import byte_bpe, language_id, packing, ppm, quality_classifier, quality_rules, sharding, simhash, topk, warc
 from .common import read
 
 FAMILY = Family()
@@ -64,3 +65,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FAMILY.query("op1_ppm_lm_scoring")
 def op1_ppm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_scores(read(spark, sf_dir, "documents"))
+
+
+@FAMILY.query("op2_exact_top_k", """
+    WITH v AS (
+        SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20""")
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, hash_share, is_fold, map_texts
+from .common import filter_rows, fresh, hash_share, is_fold, map_texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -116,6 +116,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return model
 
 
+def _predicted(model: Model | None, slots: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, by batched matrix products."""
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    rows = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+    for start in range(0, len(rows), 128):
+        part = rows[start : start + 128]
+        found = model.scores(model.presence([grams(texts[i]) for i in part], slots))
+        for i, b, s in zip(part, found.argmax(axis=1), found.max(axis=1)):
+            names[i], scores[i] = model.langs[b], min(1.0, max(0.0, (1 + s) / 2))
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) for the whole text of every row."""
     inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -125,15 +137,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         own = shared.value
         slots = own.slots() if own else None
         for batch in batches:
-            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            texts = batch.column("text").to_pylist()
-            rows = [i for i, t in enumerate(texts) if own and t and LETTER.search(t)]
-            for start in range(0, len(rows), 128):
-                part = rows[start : start + 128]
-                found = own.scores(own.presence([grams(texts[i]) for i in part], slots))
-                best = found.argmax(axis=1)
-                for i, b, s in zip(part, best, found.max(axis=1)):
-                    names[i], scores[i] = own.langs[b], min(1.0, max(0.0, (1 + s) / 2))
+            names, scores = _predicted(own, slots, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return map_texts(inputs, "text", work, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -144,3 +148,19 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     teaching = docs.where(~is_fold(F.col(doc_id), folds, held_out))
     found = predict(docs, train(teaching, doc_id, text, lang), doc_id, text)
     return found.select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows with a predicted language and a score of at least `least`, all columns as they were; learns from all labelled rows of `docs`."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
+
+    def keep():
+        model = shared.value
+        slots = model.slots() if model else None
+
+        def decide(batch: pa.RecordBatch) -> list[bool]:
+            return [name != UNKNOWN and score >= least for name, score in zip(*_predicted(model, slots, batch.column(text).to_pylist()))]
+
+        return decide
+
+    return filter_rows(docs, text, keep)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fresh, map_texts
+from .common import bounded_sample, filter_rows, fresh, map_texts
 
 SAMPLE, ROUNDS, SURE, PER_ROUND, KEEP_FROM = 6000, 4, 0.97, 500, 0.5
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -189,3 +189,16 @@ def score(docs: DataFrame, model: CoTrained | None, columns: dict[str, str] = CO
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def good(docs: DataFrame, labels: DataFrame, columns: dict[str, str] = COLUMNS, keep_from: float = KEEP_FROM) -> DataFrame:
+    """Rows that are kept, all columns as they were."""
+    model = train(docs, labels, columns)
+
+    def keep():
+        def decide(batch: pa.RecordBatch) -> list[bool]:
+            return (~(model.scores(both_views(batch, columns))[2] < keep_from)).tolist() if model else [True] * batch.num_rows
+
+        return decide
+
+    return filter_rows(docs, columns["text"], keep)

@@ -15,7 +15,7 @@ group larger than an even share fills a shard alone, and shards at the end may s
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +28,21 @@ BUCKET_BITS = 12
 
 
 class Ends:
-    """Known ends of groups as positions in the running sum. `fine[i]`: no group ends between ends[i - 1] and ends[i]."""
+    """Known ends of groups: places in the running sum, and which group (counted from 1) ends there."""
 
-    def __init__(self, ends: list[int], fine: list[bool]):
-        self.ends, self.fine = ends, fine
+    def __init__(self, known: dict[int, int]):
+        self.numbers, self.ends = zip(*sorted(known.items()))
+
+    def fine(self, i: int) -> bool:
+        """No group ends between this known end and the one before."""
+        return self.numbers[i] - (self.numbers[i - 1] if i else 0) == 1
 
     def step(self, low: int, high: int, capacity: int) -> tuple[int, int]:
         """Least and greatest place where a shard can end that begins between low and high."""
         i = bisect_right(self.ends, low + capacity) - 1
         j = bisect_right(self.ends, high + capacity) - 1
         least = self.ends[i] if i >= 0 else 0
-        greatest = self.ends[j] if j + 1 >= len(self.ends) or self.fine[j + 1] else min(high + capacity, self.ends[j + 1])
+        greatest = self.ends[j] if j + 1 >= len(self.ends) or self.fine(j + 1) else min(high + capacity, self.ends[j + 1])
         return max(least, low), max(greatest, least, low)
 
     def walk(self, capacity: int, shards: int) -> list[tuple[int, int]]:
@@ -67,50 +71,55 @@ def placed_groups(base: DataFrame) -> DataFrame:
     groups = base.groupBy("group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     # a digest is spread evenly, so buckets by its leading bits have even numbers of groups
     groups = groups.withColumn("bucket", F.conv(F.substring("group", 1, BUCKET_BITS // 4), 16, 10).cast("int"))
-    sums = groups.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.sum("n").alias("rows"))
+    measures = {"bytes": F.col("size"), "rows": F.col("n"), "groups": F.lit(1)}
+    sums = groups.groupBy("bucket").agg(*[F.sum(c).alias(name) for name, c in measures.items()])
     # at most 2^BUCKET_BITS rows
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bucket", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"))
+    offsets = sums.select("bucket", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"{name}0") for name in measures])
     inside = Window.partitionBy("bucket").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = {name: F.col(f"{name}0") + F.sum(c).over(inside) for name, c in measures.items()}
     return groups.join(F.broadcast(offsets), "bucket").select(
-        "group", "size", (F.col("bytes0") + F.sum("size").over(inside)).alias("stop"), (F.col("rows0") + F.sum("n").over(inside) - F.col("n")).alias("first_row")
+        "group", "size", up_to["bytes"].alias("stop"), up_to["groups"].alias("number"), (up_to["rows"] - F.col("n")).alias("first_row")
     )
 
 
-def finer(groups: DataFrame, stretches: list[tuple[int, int]], points: int) -> list[tuple[int, bool]]:
-    """Ends inside the stretches (after a, up to b), at most `points` of them; True: no group ends before it since the one listed before."""
-    each = max(1, points // len(stretches))
-    # never more stretches than shards
-    inside = groups.withColumn("place", F.coalesce(*[F.when((F.col("stop") > a) & (F.col("stop") <= b), F.array(F.lit(a), F.lit(b))) for a, b in stretches])).where("place IS NOT NULL")
-    inside = inside.select("stop", F.get("place", F.lit(0)).alias("a"), F.get("place", F.lit(1)).alias("b"))
-    cell = F.floor((F.col("stop") - F.col("a") - 1) * each / (F.col("b") - F.col("a")))
-    found = inside.groupBy("a", cell.alias("cell")).agg(F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n")).orderBy("stop").collect()
-    return [(r["stop"], r["n"] == 1) for r in found]
+def finer(groups: DataFrame, stretches: list[tuple[int, int]], points: int) -> dict[int, int]:
+    """About `points` more ends, evenly over the groups numbered a + 1 to b of the stretches: number -> place."""
+    each = max(2, points // len(stretches))
+    inside = [(F.col("number") > a) & (F.col("number") <= b) for a, b in stretches]
+    cell = F.coalesce(*[F.when(c, F.array(F.lit(a), F.floor((F.col("number") - a - 1) * each / (b - a)))) for c, (a, b) in zip(inside, stretches)])
+    found = groups.select("stop", "number", cell.alias("cell")).where("cell IS NOT NULL").groupBy("cell").agg(F.max("number").alias("number"), F.max("stop").alias("stop"))
+    return {r["number"]: r["stop"] for r in found.collect()}
 
 
-def smallest_capacity(groups: DataFrame, shards: int, points: int = 4000) -> tuple[int, list[int]]:
+def smallest_capacity(groups: DataFrame, shards: int, points: int = 40_000) -> tuple[int, list[int]]:
     """The minimax capacity and the place where each shard ends."""
-    total, largest = groups.agg(F.max("stop"), F.max("size")).first()
+    total, largest, count = groups.agg(F.max("stop"), F.max("size"), F.max("number")).first()
     least = max(largest, -(-total // shards))
-    known, stretches = Ends([total], [False]), [(0, total)]
+    known, stretches = {count: total}, [(0, count)]
     while True:
-        added = finer(groups, stretches, points)
-        fresh_ends = dict(added) | {e: f for e, f in zip(known.ends, known.fine) if not any(a < e <= b for a, b in stretches)}
-        ends = sorted(fresh_ends)
-        known = Ends(ends, [fresh_ends[e] for e in ends])
-        small, enough = known.search(shards, least)
-        if small + 1 == enough and all(a == b for a, b in known.walk(enough, shards)):
-            return enough, [a for a, _ in known.walk(enough, shards)]
-        # where a capacity between the two can cut
-        reach = [(a, b) for (a, _), (_, b) in zip(known.walk(small + 1, shards), known.walk(enough, shards))]
-        starts = [0, *known.ends[:-1]]
+        known |= finer(groups, stretches, points)
+        ends = Ends(known)
+        small, enough = ends.search(shards, least)
+        places = ends.walk(enough, shards)
+        if small + 1 == enough and all(a == b for a, b in places):
+            return enough, [a for a, _ in places]
+        # the groups among which a capacity between the two can cut, one stretch per cut
         stretches = []
-        for a, b, is_fine in zip(starts, known.ends, known.fine):
-            if not is_fine and any(a <= y and x <= b for x, y in reach):
-                stretches[-1:] = [(stretches[-1][0], b)] if stretches and stretches[-1][1] == a else [*stretches[-1:], (a, b)]
-
-
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", points: int = 4000) -> DataFrame:
+        for (x, _), (_, y) in zip(ends.walk(small + 1, shards), places):
+            first, last = bisect_left(ends.ends, x), min(bisect_left(ends.ends, y) + 1, len(ends.ends) - 1)
+            while first <= last and ends.fine(first):
+                first += 1
+            while last >= first and ends.fine(last):
+                last -= 1
+            if first <= last:
+                a, b = (ends.numbers[first - 1] if first else 0), ends.numbers[last]
+                if stretches and a < stretches[-1][1]:
+                    a, b = stretches[-1][0], max(b, stretches.pop()[1])
+                stretches.append((a, b))
+
+
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", points: int = 40_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard (from 0), slot (gapless from 0 in each shard), grown_shard (null under this law)."""
     content = F.coalesce(F.col(text), F.lit(""))
     base = materialise(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(content) + OVERHEAD).cast("long").alias("size"), F.crc32(content).alias("text_crc32"), F.sha2(content, 256).alias("group")))

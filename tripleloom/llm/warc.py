@@ -3,8 +3,9 @@
 A bundle is a file of independent frames, each holding whole records, and a skippable frame with the seek table as footer.
 The index tells frame and offset inside the frame of each record, so one record costs a footer, a frame and no scan.
 
-Pages are dealt to bundles by a hash, sorted, and written frame by frame; a bundle's content follows from its rows, and it
-appears under its name only when whole, so a task that runs again replaces it by the same file. Folders are opened with
+Each task writes its pages frame by frame into bundles of its own; a bundle appears under its name only when whole. The
+index comes from the attempt that Spark accepts, so bundles of a lost or repeated attempt are in no index and never read.
+Only narrow rows are compared for copies; a payload moves at most once. Folders are opened with
 pyarrow's file systems (local or mounted, S3, GCS, HDFS), the same from every executor.
 
 Defined results: a null payload is empty; a null url has no target line; a null page_id is kept as null and refers to
@@ -47,8 +48,8 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), folder
 
 
-def _path(folder: str, bundle: int) -> str:
-    return f"{folder.rstrip('/')}/bundle-{bundle:06d}.warc.zst"
+def _path(folder: str, bundle: str) -> str:
+    return f"{folder.rstrip('/')}/{bundle}.warc.zst"
 
 
 def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to) -> bytes:
@@ -94,14 +95,14 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, str, str | N
 class BundleWriter:
     """Streams records into one bundle; never holds more than a frame."""
 
-    def __init__(self, folder: str, bundle: int, frame_bytes: int):
+    def __init__(self, folder: str, frame_bytes: int):
         self.fs, root = _open(folder)
-        self.final, self.frame_bytes = _path(root, bundle), frame_bytes
-        self.temporary = f"{root.rstrip('/')}/.{uuid.uuid4().hex}"
+        self.name = uuid.uuid4().hex
+        self.final, self.temporary, self.frame_bytes = _path(root, self.name), f"{root.rstrip('/')}/.{self.name}", frame_bytes
         self.fs.create_dir(root, recursive=True)
         self.file = self.fs.open_output_stream(self.temporary)
         self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.frame, self.table = bytearray(), []
+        self.frame, self.table, self.bytes = bytearray(), [], 0
 
     def add(self, data: bytes) -> tuple[int, int, int]:
         """Frame, offset in it, and length of the record."""
@@ -109,6 +110,7 @@ class BundleWriter:
             self._flush()
         place = len(self.table), len(self.frame), len(data)
         self.frame += data
+        self.bytes += len(data)
         return place
 
     def _flush(self) -> None:
@@ -129,7 +131,7 @@ class BundleWriter:
 class BundleReader:
     """Frames of a bundle by number, found through the seek table."""
 
-    def __init__(self, folder: str, bundle: int):
+    def __init__(self, folder: str, bundle: str):
         fs, root = _open(folder)
         self.file = fs.open_input_file(_path(root, bundle))
         size = self.file.size()
@@ -162,32 +164,26 @@ def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 def write(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, **columns) -> DataFrame:
     """Write the bundles; returns the index as a written table: page_id, bundle, frame, offset, length."""
     records = marked(pages, **columns)
-    total = pages.agg(F.sum(F.octet_length(F.col(columns.get("html", "html"))))).first()[0] or 0
-    bundles = max(1, -(-total // bundle_bytes))
     kind = records.schema["page_id"].dataType.simpleString()
-    # a page_id names one page; rows without one are told apart by what they hold
-    bundle = F.pmod(F.xxhash64("page_id", F.when(F.col("page_id").isNull(), F.concat_ws(" ", "url", "digest"))), F.lit(bundles)).cast("int")
-    dealt = records.withColumn("bundle", bundle).repartition(int(bundles), "bundle").sortWithinPartitions("bundle", "page_id", "digest", "url")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, current = None, None
+        writer = None
         for batch in batches:
-            ids, places = batch.column("page_id"), []
-            rows = zip(batch.column("bundle").to_pylist(), ids.to_pylist(), *(batch.column(c).to_pylist() for c in ("url", "html", "size", "digest", "refers_to")))
-            for number, page, url, html, size, digest, refers_to in rows:
-                if number != current:
-                    if writer:
-                        writer.close()
-                    writer, current = BundleWriter(folder, number, frame_bytes), number
-                places.append((number, *writer.add(record(page, url, (html or "").encode(), size, digest, refers_to))))
-            columns_ = [pa.array(c, k) for c, k in zip(zip(*places), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            places = []
+            for page, url, html, size, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "refers_to"))):
+                if writer and writer.bytes >= bundle_bytes:
+                    writer.close()
+                    writer = None
+                writer = writer or BundleWriter(folder, frame_bytes)
+                places.append((writer.name, *writer.add(record(page, url, (html or "").encode(), size, digest, refers_to))))
             if places:
-                yield pa.RecordBatch.from_arrays([ids, *columns_], ["page_id", "bundle", "frame", "offset", "length"])
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), *[pa.array(c, k) for c, k in zip(zip(*places), kinds)]], ["page_id", "bundle", "frame", "offset", "length"])
         if writer:
             writer.close()
 
     # the text column only bounds the batches
-    return materialise(map_texts(dealt, "html", work, f"page_id {kind}, bundle int, frame int, offset long, length long"))
+    return materialise(map_texts(records, "html", work, f"page_id {kind}, bundle string, frame int, offset long, length long"))
 
 
 READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"

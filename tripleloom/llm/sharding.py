@@ -6,7 +6,7 @@ no more than the wanted number of shards is found by binary search, and the shar
 The walk does not read all groups. Running sums of all groups are one narrow table; the driver holds a bounded list of
 known group ends. Between two known ends the walk's position is an interval, so a capacity is surely feasible, surely
 not, or open. Only the stretches that open capacities can cut in are then listed more finely, until none is open. Each
-pass adds at most `points` ends, whatever the number of groups.
+pass adds about `points` ends, whatever the number of groups.
 
 Defined results: a null text has no bytes and counts as empty; both share one group. Repeated rows are members of their
 group like others, a null id included. An empty table gives no rows. Ties need no rule: groups have distinct places. A
@@ -83,11 +83,13 @@ def placed_groups(base: DataFrame) -> DataFrame:
     )
 
 
-def finer(groups: DataFrame, stretches: list[tuple[int, int]], points: int) -> dict[int, int]:
-    """About `points` more ends, evenly over the groups numbered a + 1 to b of the stretches: number -> place."""
-    each = max(2, points // len(stretches))
-    inside = [(F.col("number") > a) & (F.col("number") <= b) for a, b in stretches]
-    cell = F.coalesce(*[F.when(c, F.array(F.lit(a), F.floor((F.col("number") - a - 1) * each / (b - a)))) for c, (a, b) in zip(inside, stretches)])
+def finer(groups: DataFrame, stretches: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Ends of each stretch (a, b, cells), evenly over its groups numbered a + 1 to b: number -> place."""
+    starts, stops, cells = (F.lit(list(x)) for x in zip(*stretches))
+    number = F.col("number")
+    which = F.size(F.filter(starts, lambda a: a < number)) - 1  # the last stretch that begins before the group
+    a, b, n = F.get(starts, which), F.get(stops, which), F.get(cells, which)
+    cell = F.when((which >= 0) & (number <= b), F.struct(which, F.floor((number - a - 1) * n / (b - a))))
     found = groups.select("stop", "number", cell.alias("cell")).where("cell IS NOT NULL").groupBy("cell").agg(F.max("number").alias("number"), F.max("stop").alias("stop"))
     return {r["number"]: r["stop"] for r in found.collect()}
 
@@ -96,16 +98,16 @@ def smallest_capacity(groups: DataFrame, shards: int, points: int = 40_000) -> t
     """The minimax capacity and the place where each shard ends."""
     total, largest, count = groups.agg(F.max("stop"), F.max("size"), F.max("number")).first()
     least = max(largest, -(-total // shards))
-    known, stretches = {count: total}, [(0, count)]
+    known, stretches = {count: total}, [(0, count, points)]
     while True:
-        known |= finer(groups, stretches, points)
+        known |= finer(groups, stretches)
         ends = Ends(known)
         small, enough = ends.search(shards, least)
         places = ends.walk(enough, shards)
         if small + 1 == enough and all(a == b for a, b in places):
             return enough, [a for a, _ in places]
         # the groups among which a capacity between the two can cut, one stretch per cut
-        stretches = []
+        merged: list[tuple[int, int]] = []
         for (x, _), (_, y) in zip(ends.walk(small + 1, shards), places):
             first, last = bisect_left(ends.ends, x), min(bisect_left(ends.ends, y) + 1, len(ends.ends) - 1)
             while first <= last and ends.fine(first):
@@ -114,9 +116,12 @@ def smallest_capacity(groups: DataFrame, shards: int, points: int = 40_000) -> t
                 last -= 1
             if first <= last:
                 a, b = (ends.numbers[first - 1] if first else 0), ends.numbers[last]
-                if stretches and a < stretches[-1][1]:
-                    a, b = stretches[-1][0], max(b, stretches.pop()[1])
-                stretches.append((a, b))
+                if merged and a < merged[-1][1]:
+                    a, b = merged[-1][0], max(b, merged.pop()[1])
+                merged.append((a, b))
+        # at least twice the ends known there, so that the longest gap is halved
+        inside = [bisect_right(ends.numbers, b) - bisect_right(ends.numbers, a) for a, b in merged]
+        stretches = [(a, b, max(points // len(merged), 2 * n)) for (a, b), n in zip(merged, inside)]
 
 
 def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", points: int = 40_000) -> DataFrame:
@@ -129,9 +134,8 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     else:
         _, cuts = smallest_capacity(groups, shards, points)
     # a group is in the shard whose end is the first at or behind its own
-    number = F.lit(0)
-    for cut in cuts[:-1]:
-        number = number + (F.col("stop") > cut).cast("int")
+    ends = F.lit(cuts[:-1]) if len(cuts) > 1 else F.array().cast("array<long>")
+    number = F.size(F.filter(ends, lambda end: end < F.col("stop")))
     numbered = groups.select("group", "first_row", number.cast("int").alias("shard"))
     firsts = numbered.groupBy("shard").agg(F.min("first_row").alias("shard_row"))
     placed = numbered.join(F.broadcast(firsts), "shard")  # one row per shard

@@ -35,11 +35,15 @@ class Memo(dict):
     def __missing__(self, piece: str) -> int:
         return self.put(piece, self.encode(piece))
 
+    def of(self, piece: str) -> array:
+        place = self[piece]
+        return self.flat[self.starts[place] : self.starts[place] + self.sizes[place]]
+
     def ids(self, pieces: Iterable[str], per_text: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and how many belong to each text (`per_text`: pieces of each)."""
         places = np.fromiter(map(self.__getitem__, pieces), np.int64, sum(per_text))
-        sizes = np.array(self.sizes, np.int64)[places]
+        sizes = np.frombuffer(self.sizes, np.int32)[places].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(np.array(self.starts, np.int64)[places] - ends[:-1], sizes)
+        source = np.repeat(np.frombuffer(self.starts, np.int32)[places] - ends[:-1], sizes)
         source += np.arange(ends[-1])
-        return np.array(self.flat, np.int32)[source], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])
+        return np.frombuffer(self.flat, np.int32)[source], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])

@@ -25,6 +25,9 @@ from .memo import Memo
 
 CAPACITY = 2048
 END = "\n"
+#: Marks that may end a word.
+MARKS = frozenset(".,;:!?")
+TOGETHER = 500
 _MEMOS: dict[str, tuple] = {}
 
 
@@ -36,10 +39,43 @@ def _worker_memo(spec: str) -> tuple:
 
         tokenizer = Tokenizer.from_str(spec)
         _MEMOS.clear()
-        _MEMOS[spec] = tokenizer, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
+        _MEMOS[spec] = tokenizer, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, limit=900_000)
     return _MEMOS[spec]
 
 
+def _core(word: str) -> tuple[str, str]:
+    """What decides a word's ids, and a last mark that the pattern always cuts off. Case counts for nothing in ASCII."""
+    if word.isascii():
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return word[:-1].lower(), word[-1]
+        return word.lower(), ""
+    return word, ""
+
+
+def _learn(tokenizer, memo: Memo, words: list[str]) -> None:
+    """Put words into the memo; those that differ in case or a last mark only are encoded once.
+
+    Words of ASCII letters have one end-of-word token each, so many are encoded as one text and told apart by it.
+    """
+    parts = [_core(w) for w in words]
+    new = [c for c in {core for core, _ in parts}.union(MARKS) if c not in memo]
+    letters = [c for c in new if c.isascii() and c.isalpha()]
+    for start in range(0, len(letters), TOGETHER):
+        group = letters[start : start + TOGETHER]
+        coded = tokenizer.encode(" ".join(group), add_special_tokens=False)
+        ends = [i for i, token in enumerate(coded.tokens, 1) if token.endswith("</w>")]
+        ids = coded.ids
+        if len(ends) == len(group):
+            for core, a, b in zip(group, [0, *ends], ends):
+                memo.put(core, ids[a:b])
+    rest = [c for c in new if c not in memo]
+    for core, coded in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+        memo.put(core, coded.ids)
+    for word, (core, mark) in zip(words, parts):
+        if word not in memo:
+            memo.put(word, memo.of(core) + memo.of(mark) if mark else memo.of(core))
+
+
 def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): each text's ids and the end id, cut to the capacity.
 
@@ -62,9 +98,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 words += own
                 words.append(END)
                 per_text.append(len(own) + 1)
-            new = [w for w in set(words) if w not in memo]
-            for word, coded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo.put(word, coded.ids)
+            _learn(tokenizer, memo, [w for w in set(words) if w not in memo])
             flat, counts = memo.ids(words, per_text)
             flat = flat.astype("<u4")
             rows, pieces, starts, lengths, ids, at = [], [], [], [], [], 0

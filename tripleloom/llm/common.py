@@ -45,11 +45,11 @@ def in_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+def map_texts(df: DataFrame, text: str, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema, limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow whose function sees small batches, so that memory stays bounded however long the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(part for batch in batches for part in in_chunks(batch, text))
+        yield from work(part for batch in batches for part in in_chunks(batch, text, limit))
 
     return df.mapInArrow(run, schema)
 

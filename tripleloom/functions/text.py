@@ -7,11 +7,12 @@ source data (Chinese text with U+3000 blanks) needs.
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import fixed_values as V
 
@@ -195,27 +196,42 @@ def compact_text(c: Column | str, unescape: bool = True) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def _text_quality(text: str) -> int:
-    score = sum("\u4e00" <= ch <= "\u9fff" for ch in text)
-    score += 8 * sum(text.count(w) for w in V.USEFUL_WORDS)
-    score -= 12 * sum(text.count(m) for m in V.MOJIBAKE_MARKERS)
-    return score - text.count("?") - 20 * text.count("\ufffd")
+REPAIR_CODECS = ("gb18030", "gbk")
 
 
-@F.pandas_udf(StringType())
-def repair_text(s: pd.Series) -> pd.Series:
-    """Undo UTF-8 text read as GB18030/GBK when the repaired text looks better."""
+@F.pandas_udf(StructType([StructField(codec, StringType()) for codec in REPAIR_CODECS]))
+def _read_again(s: pd.Series) -> pd.DataFrame:
+    """What a text is if it was UTF-8 read in each of the codecs; NULL where it cannot be."""
+
+    def again(codec: str) -> pd.Series:
+        raw = s.str.encode(codec, errors="ignore")
+        faithful = raw.str.decode(codec, errors="ignore") == s
+        text = raw.str.decode("utf-8", errors="ignore")
+        return text.where(faithful & (text.str.encode("utf-8") == raw))
+
+    return pd.DataFrame({codec: again(codec) for codec in REPAIR_CODECS})
+
+
+def _occurrences(text: Column, words: list[str]) -> Column:
+    """How often the words occur, each by itself."""
+    return sum((F.regexp_count(text, F.lit(re.escape(w))) for w in words), F.lit(0))
+
 
-    def best(text: str) -> str:
-        options = [text]
-        for codec in ("gb18030", "gbk"):
-            try:
-                options.append(text.encode(codec).decode("utf-8"))
-            except UnicodeError:
-                continue
-        return max(options, key=_text_quality) if len(options) > 1 else text
+def _legibility(text: Column) -> Column:
+    """Chinese characters and known words speak for a text, marks of wrong decoding against it."""
+    chinese = F.regexp_count(text, F.lit(r"[\u4e00-\u9fff]"))
+    lost = F.regexp_count(text, F.lit(r"\?")) + 20 * F.regexp_count(text, F.lit("\ufffd"))
+    return chinese + 8 * _occurrences(text, V.USEFUL_WORDS) - 12 * _occurrences(text, V.MOJIBAKE_MARKERS) - lost
 
-    return s.fillna("").map(best)
+
+def repair_text(c: Column | str) -> Column:
+    """Undo UTF-8 text read as GB18030 or GBK when that makes the text more legible; only texts beyond ASCII go to Python."""
+    text = F.coalesce(_c(c), F.lit(""))
+    read = _read_again(F.when(text.rlike(r"[^\x00-\x7f]"), text))
+    choices = F.filter(F.array(text, *[read[codec] for codec in REPAIR_CODECS]), lambda x: x.isNotNull())
+    # equal legibility: the first of them
+    rated = F.transform(choices, lambda x, i: F.struct(_legibility(x).alias("r"), (-i).alias("i"), x.alias("t")))
+    return F.when(F.size(choices) > 1, F.array_max(rated)["t"]).otherwise(text)
 
 
 # ---------------------------------------------------------------- tokens
@@ -233,8 +249,8 @@ def lexical_tokens(c: Column | str, min_n: int = 2, max_n: int = 4) -> Column:
     return F.array_distinct(F.concat(words, *grams))
 
 
-def question_tokens(c: Column | str, limit: int = 40) -> Column:
-    """Search tokens of a question, longest first."""
+def question_tokens(c: Column | str, limit: int | None = None) -> Column:
+    """Search tokens of a question, longest first; all of them unless a limit is asked for."""
     text = strip(F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), r"(?U)[^\w\u4e00-\u9fff]+", " "))
     parts = F.filter(F.split(text, r"(?U)\s+"), lambda p: F.char_length(p) >= 2)
     joined = F.replace(text, F.lit(" "), F.lit(""))
@@ -246,7 +262,7 @@ def question_tokens(c: Column | str, limit: int = 40) -> Column:
 
     tokens = F.array_distinct(F.flatten(F.transform(parts, pieces)))
     longest = F.array_sort(tokens, lambda a, b: F.char_length(b) - F.char_length(a))
-    return F.slice(longest, 1, limit)
+    return longest if limit is None else F.slice(longest, 1, limit)
 
 
 # ---------------------------------------------------------------- expectations
@@ -322,19 +338,30 @@ def strip_code_fence(c: Column | str) -> Column:
     ).otherwise(text)
 
 
-def json_payload(c: Column | str) -> Column:
-    """JSON part of a model answer: the whole text, else the outermost list, else the outermost object."""
+def is_whole_json(c: Column | str) -> Column:
+    """True if the text is one JSON value and nothing else.
+
+    Spark's parsers stop after the first value. As the only item of a list, and again as the first of two, a text is counted
+    right both times only if it is one value to its end.
+    """
+    text = F.coalesce(_c(c), F.lit(""))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    followed = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]")))
+    return F.coalesce((alone == 1) & (followed == 2), F.lit(False))
+
+
+def json_payload(c: Column | str, prefer: str = "array") -> Column:
+    """JSON part of a model answer: the whole text, else from the first to the last bracket of the preferred kind, else of the other."""
     text = strip_code_fence(c)
-    whole = F.try_parse_json(text).isNotNull()
-    array = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    obj = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(whole, text).when(array != "", array).when(obj != "", obj)
+    array = F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))
+    obj = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(is_whole_json(text), text).otherwise(F.coalesce(array, obj) if prefer == "array" else F.coalesce(obj, array))
 
 
-def extract_json(c: Column | str, schema: str) -> Column:
-    """Parsed payload of an answer, NULL when nothing parses."""
-    payload = json_payload(c)
-    return F.when(F.try_parse_json(payload).isNotNull(), F.from_json(payload, schema))
+def extract_json(c: Column | str, schema: str, prefer: str = "array") -> Column:
+    """Parsed payload of an answer, NULL when it is no single JSON value."""
+    payload = json_payload(c, prefer)
+    return F.when(is_whole_json(payload), F.from_json(payload, schema))
 
 
 def shorten(c: Column | str, width: int = 40) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
@@ -272,10 +274,24 @@ def compact_text(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.md5(T.compact_text("html")).alias("text_md5"))
 
 
-@query("repair_text", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+# Sentences of an even number of characters, so that the wrong decoding loses no byte.
+SENTENCES = ["车辆测试正常", "系统故障信息", "车辆启动测试"]
+
+
+@F.pandas_udf(StringType())
+def _misread(s: pd.Series) -> pd.Series:
+    return s.str.encode("utf-8").str.decode("gb18030")
+
+
+@query(
+    "repair_text",
+    f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE ({SENTENCES!r})[1 + doc_id % {len(SENTENCES)}] || ' ' || doc_id END AS text FROM documents""",
+)
 def repair_text(spark, d):
-    """No text of the corpus is mis-decoded, so repair must leave each one alone."""
-    return docs(spark, d).select("doc_id", F.md5(T.repair_text("text")).alias("text_md5"))
+    """Whole texts, which repair leaves alone, and for odd documents sentences that were decoded wrongly."""
+    sentence = F.concat(F.get(F.array(*map(F.lit, SENTENCES)), (F.col("doc_id") % len(SENTENCES)).cast("int")), F.lit(" "), F.col("doc_id"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(_misread(sentence))
+    return docs(spark, d).select("doc_id", T.repair_text(text).alias("text"))
 
 
 def grams_sql(chars: str, n: int) -> str:
@@ -313,7 +329,7 @@ def lexical_tokens(spark, d):
                    generate_subscripts(regexp_extract_all(lower(text), '[\pL\pN\pM_]{2,}'), 1) AS pos FROM documents),
          u AS (SELECT doc_id, tok, min(pos) AS pos FROM t GROUP BY 1, 2),
          r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(tok) DESC, pos) AS rn FROM u)
-         SELECT doc_id, string_agg(tok, ' ' ORDER BY rn) AS tokens FROM r WHERE rn <= 40 GROUP BY 1""",
+         SELECT doc_id, string_agg(tok, ' ' ORDER BY rn) AS tokens FROM r GROUP BY 1""",
 )
 def question_tokens(spark, d):
     tokens = T.question_tokens("text")
@@ -396,8 +412,8 @@ def normalize_filename(spark, d):
 
 @query(
     "extract_json",
-    """SELECT event_id, event_type <> 'error' AS parsed,
-         CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""",
+    """SELECT event_id, event_type <> 'error' AND event_id % 3 <> 0 AS parsed,
+         CASE WHEN event_type <> 'error' AND event_id % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""",
 )
 def extract_json(spark, d):
     kind = F.col("event_type")
@@ -407,7 +423,9 @@ def extract_json(spark, d):
         .when(kind == "error", F.concat(F.lit("no {"), F.col("props"), F.lit(" result")))
         .otherwise(F.col("props"))
     )
-    out = B.table(spark, d, "events").select("event_id", T.extract_json(answer, "k bigint").alias("j"))
+    # two values one behind the other are no answer
+    answer = F.when(F.col("event_id") % 3 == 0, F.concat(answer, F.lit(" and "), F.col("props"))).otherwise(answer)
+    out = B.table(spark, d, "events").select("event_id", T.extract_json(answer, "k bigint", prefer="object").alias("j"))
     return out.select("event_id", F.col("j").isNotNull().alias("parsed"), F.col("j.k").alias("k"))
 
 

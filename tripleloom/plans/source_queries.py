@@ -42,10 +42,8 @@ def read_cases(spark, d):
     block = F.floor(F.col("source_row") / 500)
     files = cases.groupBy(block.alias("b")).agg(F.collect_list(case).alias("test_cases")).drop("b")
     path = scratch(spark)
-    files.select(F.to_json(F.struct("test_cases")).alias("value")).repartition(8).write.text(path)
-    out = spark.read.schema(readers.CASE_FILE_SCHEMA).json(path)
-    rows = out.select(F.lit("cases.json").alias("source"), F.posexplode("test_cases").alias("row", "c"))
-    return readers.normalise_cases(rows).select(
+    files.select(F.to_json(F.struct("test_cases")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_cases(spark, path).select(
         "case_id", "case_name", "test_type", *[F.array_join(c, "|").alias(c) for c in ("preconditions", "actions", "expected_behaviors")]
     )
 
@@ -58,7 +56,7 @@ def csv_round_trip(spark, d):
     path = scratch(spark)
     rows = B.complaints(spark, d).select("vehicle_key", "odi_number", "component", "summary", "crash", "fire", "injury", F.lit("").alias("date_received"))
     writers.write_csv(rows, f"{path}/complaints.csv")
-    back = spark.read.csv(f"{path}/complaints.csv", schema=readers.SAFETY_SCHEMAS["complaints"], header=True, multiLine=True, quote='"', escape='"')
+    back = readers.read_safety(spark, path, ["complaints"])["complaints"]
     return back.select("vehicle_key", "odi_number", "component", F.md5("summary").alias("summary_md5"), "crash", "fire", "injury")
 
 
@@ -70,6 +68,22 @@ def jsonl_round_trip(spark, d):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
+@query(
+    "tolerant_jsonl",
+    """SELECT doc_id, kind FROM (SELECT doc_id, CASE WHEN doc_id % 8 IN (1, 5) THEN 'rejected' ELSE 'read' END AS kind FROM documents)""",
+)
+def tolerant_jsonl(spark, d):
+    """One line per document; every fourth has text or a second value behind the first and is rejected, whole lines are read."""
+    path = scratch(spark)
+    line = F.to_json(F.struct("doc_id", "text"))
+    number = F.col("doc_id") % 8
+    spoilt = F.when(number == 1, F.concat(line, F.lit(" trailing"))).when(number == 5, F.concat(line, line)).otherwise(F.concat(F.lit("  "), line, F.lit(" ")))
+    B.table(spark, d, "documents").select(spoilt.alias("value")).union(spark.createDataFrame([("   ",)], "value string")).write.text(path)
+    read = readers.read_jsonl(spark, path, "doc_id bigint", strict=False).select("doc_id", F.lit("read").alias("kind"))
+    rejected = readers.rejected_jsonl(spark, path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.lit("rejected").alias("kind"))
+    return read.unionByName(rejected)
+
+
 @query(
     "read_document_triples",
     """SELECT 'doc_' || p_type AS doc_name, p_name AS head, 'MADE_BY' AS relation, p_brand AS tail, 's' || p_size AS sources FROM part""",

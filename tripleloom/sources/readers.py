@@ -62,24 +62,34 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return normalise_cases(rows)
 
 
-def read_safety(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Safety CSV tables of a folder by name."""
+def read_safety(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Safety CSV tables of a folder by name; all of them unless some are asked for."""
     return {
-        name: spark.read.csv(f"{folder}/{name}.csv", schema=schema, header=True, multiLine=True, quote='"', escape='"')
-        for name, schema in SAFETY_SCHEMAS.items()
+        name: spark.read.csv(f"{folder}/{name}.csv", schema=SAFETY_SCHEMAS[name], header=True, multiLine=True, quote='"', escape='"')
+        for name in names or SAFETY_SCHEMAS
     }
 
 
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank, with their file and whether each is one JSON value."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    return lines.withColumn("ok", T.is_whole_json("value"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; strict fails with the bad line, tolerant drops it, blank lines are skipped in both."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNotNull().alias("ok"))
+    """JSON lines; strict fails with file and text of a line that is not one JSON value, tolerant leaves it to `rejected_jsonl`."""
+    lines = _json_lines(spark, path)
     if strict:
-        message = F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200))
-        parsed = parsed.withColumn("r", F.when(F.col("ok"), F.col("r")).otherwise(F.raise_error(message)))
+        message = F.concat(F.lit("malformed JSON line in "), F.col("file"), F.lit(": "), F.col("value"))
+        lines = lines.withColumn("value", F.when(F.col("ok"), F.col("value")).otherwise(F.raise_error(message)))
     else:
-        parsed = parsed.where("ok")
-    return parsed.select("r.*")
+        lines = lines.where("ok")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def rejected_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that the tolerant reader leaves out: file, value."""
+    return _json_lines(spark, path).where(~F.col("ok")).select("file", "value")
 
 
 def read_doc_triples(spark: SparkSession, root: str) -> DataFrame:
@@ -102,11 +112,11 @@ def read_doc_triples(spark: SparkSession, root: str) -> DataFrame:
 
 def build_manifest(spark: SparkSession, folders: dict[str, tuple[str, str]], limit_per_doc: int = 0) -> DataFrame:
     """Images of the document folders {doc_id: (doc_name, folder)} with ids such as ``doc_0001`` in file-name order."""
-    out = None
-    for doc_id, (doc_name, folder) in folders.items():
-        listed = spark.read.format("binaryFile").load(folder).select("path")
-        part = listed.select(F.lit(doc_id).alias("doc_id"), F.lit(doc_name).alias("doc_name"), F.lit(folder).alias("source_dir"), F.col("path").alias("image_path"))
-        out = part if out is None else out.unionByName(part)
+    plain = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:(//[^/]*)?|/+\z", "")  # noqa: E731  without scheme and host
+    documents = spark.createDataFrame([(doc_id, name, folder) for doc_id, (name, folder) in folders.items()], "doc_id string, doc_name string, source_dir string")
+    listed = spark.read.format("binaryFile").load([folder for _, folder in folders.values()]).select(F.col("path").alias("image_path"))
+    within = plain(F.regexp_extract("image_path", r"^(.*)/[^/]+\z", 1))
+    out = listed.withColumn("_dir", within).join(documents.withColumn("_dir", plain("source_dir")), "_dir").select("doc_id", "doc_name", "source_dir", "image_path")
     named = out.withColumn("file_name", _file_name(F.col("image_path")))
     images = named.where(F.lower(F.substring_index("file_name", ".", -1)).isin(IMAGE_SUFFIXES))
     ranked = numbered(images, ["doc_id"], [F.col("file_name")], "_n")

@@ -118,16 +118,12 @@ def round_robin(
     return out.limit(n) if n is not None else out
 
 
-MAX_SAMPLE = 240
-
-
 def graph_projection(cases: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges type → case → detail of a round-robin sample with a detail budget.
 
     At most four details per case and ``round(3.85 × cases)`` in all, cases in
-    sample order.  The sample has at most 240 cases, so the budget is a small window.
+    sample order.  The sample has `limit` cases, so the budget is a small window.
     """
-    limit = min(max(limit, 20), MAX_SAMPLE)
     sample = round_robin(cases, "test_type", limit, [F.asc("source_row")])
     kind = F.when(F.coalesce("test_type", F.lit("")) == "", F.lit(V.UNCLASSIFIED)).otherwise(F.col("test_type"))
     named = sample.select(

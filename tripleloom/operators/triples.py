@@ -427,13 +427,14 @@ def merge_evidence(graph: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def edge_list(triples: DataFrame, cap: int = 1200, order: Sequence[str] = TRIPLE) -> tuple[DataFrame, DataFrame]:
-    """The first ``cap`` kept edges and their sorted distinct nodes."""
+def edge_list(triples: DataFrame, cap: int | None = None, order: Sequence[str] = TRIPLE) -> tuple[DataFrame, DataFrame]:
+    """The kept edges in order, the first ``cap`` if one is given, and their sorted distinct nodes."""
     keep = F.coalesce("keep", F.lit(True)) if "keep" in triples.columns else F.lit(True)
     edges = (
         triples.where(keep & (F.coalesce("head", F.lit("")) != "") & (F.coalesce("tail", F.lit("")) != ""))
         .orderBy(*order)
-        .limit(cap)
     )
+    if cap is not None:
+        edges = edges.limit(cap)
     nodes = edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct().orderBy("name")
     return edges, nodes

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cases as C
 from ..operators import search as S
+from ..operators.scale import global_rank
 from . import bindings as B
 from .registry import Family
 
@@ -221,14 +222,9 @@ def type_facets(spark, d):
         SELECT case_id, test_type, row_number() OVER (ORDER BY f, source_row) AS place FROM o""",
 )
 def order_by_case_id(spark, d):
-    """The row order, made visible as a number."""
-    from ..functions.text import case_id_key
-    from ..operators.scale import global_rank
-
-    cases = B.cases(spark, d)
-    key = case_id_key("case_id")
-    firsts = cases.groupBy("test_type").agg(F.min(key).alias("f"))
-    ranked = global_rank(cases.join(firsts, "test_type").withColumn("k", key), [F.col("f"), F.col("k")], "place")
+    """The operator's row order, made visible as a number."""
+    ordered = C.order_by_case_id(B.cases(spark, d)).withColumn("n", F.monotonically_increasing_id())
+    ranked = global_rank(ordered, [F.col("n")], "place")
     return ranked.select("case_id", "test_type", "place")
 
 

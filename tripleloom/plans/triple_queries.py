@@ -421,10 +421,9 @@ def merge_evidence(spark, d):
 
 @query(
     "edge_list_nodes",
-    f"""WITH {B.LINES_SQL}, {B.RAW_TRIPLES_SQL}, e AS (SELECT head, tail FROM raw_triples
-          ORDER BY head, relation, tail, l_orderkey, pos LIMIT 1200)
+    f"""WITH {B.LINES_SQL}, {B.RAW_TRIPLES_SQL}, e AS (SELECT head, tail FROM raw_triples WHERE coalesce(head, '') <> '' AND coalesce(tail, '') <> '')
         SELECT DISTINCT name FROM (SELECT head AS name FROM e UNION ALL SELECT tail FROM e)""",
 )
 def edge_list_nodes(spark, d):
-    _, nodes = X.edge_list(B.raw_triples(spark, d), 1200, ["head", "relation", "tail", "row_id"])
+    _, nodes = X.edge_list(B.raw_triples(spark, d), order=["head", "relation", "tail", "row_id"])
     return nodes

@@ -32,7 +32,7 @@ def clean_content(c: Column) -> Column:
 def is_candidate(section_id: Column, title: Column, content: Column) -> Column:
     """Sections worth structuring: telling words, or enough text without a low-value title."""
     heading = F.concat_ws(" ", section_id, title)
-    high = _matches(heading, V.HIGH_VALUE_SECTIONS) | _matches(F.substring(content, 1, 1200), V.HIGH_VALUE_SECTIONS)
+    high = _matches(heading, V.HIGH_VALUE_SECTIONS) | _matches(content, V.HIGH_VALUE_SECTIONS)
     low = _matches(heading, V.LOW_VALUE_SECTIONS) & (F.char_length(content) < 1800)
     return F.when(high, F.lit(True)).when(low, F.lit(False)).otherwise(F.char_length(content) >= 240)
 
@@ -325,7 +325,7 @@ def text_units(sections: DataFrame, units: DataFrame, signal_tables: DataFrame)
     clean = sections.select(
         *key, title.alias("section_title"), content.alias("_c"), "page_start", "page_end", F.coalesce("is_candidate", F.lit(False)).alias("_ok")
     )
-    useful = F.col("_ok") | _matches(F.col("section_title"), V.USEFUL_SECTIONS) | _matches(F.substring("_c", 1, 1200), V.USEFUL_SECTIONS)
+    useful = F.col("_ok") | _matches(F.col("section_title"), V.USEFUL_SECTIONS) | _matches(F.col("_c"), V.USEFUL_SECTIONS)
     picked = (
         clean.where((F.char_length("_c") >= 120) & ~_matches(F.col("section_title"), V.LOW_VALUE_TITLES) & useful)
         .join(units.select(*key).distinct(), key, "left_anti")
@@ -334,7 +334,7 @@ def text_units(sections: DataFrame, units: DataFrame, signal_tables: DataFrame)
     blank = {f: F.lit("") for f in UNIT_FIELDS if f != "expected_results"}
     return picked.withColumns(
         {
-            "requirement_text": F.substring("_c", 1, 2400), "expected_results": F.substring("_c", 1, 1600), "source_type": F.lit("section_text"),
+            "requirement_text": F.col("_c"), "expected_results": F.col("_c"), "source_type": F.lit("section_text"),
             "unit_id": F.concat(F.lit("ru_"), F.replace("section_id", F.lit(" "), F.lit("_")), F.lit("_text")), "function": _function_name(),
             "table_no": F.lit(0).cast("long"), "row_index": F.lit(0).cast("long"), **blank,
         }
@@ -472,7 +472,7 @@ def topic_clusters(items: DataFrame, by_unit: bool, rules=V.TOPIC_RULES) -> Data
 
     heads = top_k_per_key(tagged.select(*key, "seq", "section_id", "title"), key, [F.col("seq")], 5)
     summary = listed(heads, T.compact_text(F.concat_ws(" ", F.coalesce("section_id", F.lit("")), F.coalesce("title", F.lit("")))), "summary", "；")
-    words = top_keywords(tagged.withColumn("_w", F.concat_ws(" ", "title", "content_preview")), key, "_w")
+    words = top_keywords(tagged.withColumn("_w", F.concat_ws(" ", "title", "content")), key, "_w")
     keywords = listed(words, F.col("word"), "keywords")
     first_seen = tagged.select(*key, "seq", F.posexplode("test_intents").alias("_p", "intent")).groupBy(*key, "intent").agg(F.min(F.struct("seq", "_p")).alias("_s"))
     intents = listed(top_k_per_key(first_seen, key, [F.col("_s")], 10), F.col("intent"), "test_intents")

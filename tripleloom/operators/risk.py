@@ -94,7 +94,7 @@ def risk_groups(rows: DataFrame) -> DataFrame:
         F.min("row_id").alias("_first"),
         F.collect_set("source_type").alias("_types"),
         F.min_by(
-            F.struct(F.substring(F.coalesce("evidence", F.lit("nan")), 1, 500).alias("text")), "row_id"
+            F.struct(F.coalesce("evidence", F.lit("nan")).alias("text")), "row_id"
         ).alias("_evidence"),
         F.min_by("test_objective", F.when(F.col("test_objective").isNotNull(), F.col("row_id"))).alias("_objective"),
         F.min_by("expected_result", F.when(F.col("expected_result").isNotNull(), F.col("row_id"))).alias("_expected"),
@@ -210,7 +210,7 @@ def safety_triples(rs: DataFrame, recalls: DataFrame, complaints: DataFrame, tes
             F.col(head).cast("string").alias("head"),
             F.lit(relation).alias("relation"),
             F.col(tail).cast("string").alias("tail"),
-            F.substring(F.coalesce(F.col(evidence), F.lit("nan")), 1, 300).alias("evidence"),
+            F.coalesce(F.col(evidence), F.lit("nan")).alias("evidence"),
             "vehicle_key",
             F.lit(no).alias("_family"),
             F.col(order).cast("string").alias("_text_order") if order == "scenario_id" else F.lit("").alias("_text_order"),
@@ -267,7 +267,7 @@ def risk_test_cases(rs: DataFrame, templates: DataFrame) -> DataFrame:
         F.col("_t.criteria").alias("pass_fail_criteria"),
         "priority_score",
         "evidence_count",
-        F.substring("sample_evidence", 1, 300).alias("sample_evidence"),
+        "sample_evidence",
     )
 
 

@@ -180,7 +180,7 @@ modal AS (
 groups AS (
   SELECT vehicle_key, risk_scenario, refined_component, count(source_id) AS evidence_count,
          array_to_string(list_sort(list(DISTINCT source_type)), ',') AS source_types,
-         substr(arg_min(evidence, family * 1000000000 + row_id), 1, 500) AS sample_evidence,
+         arg_min(evidence, family * 1000000000 + row_id) AS sample_evidence,
          min(test_objective) AS test_objective, min(expected_result) AS expected_result
   FROM testable GROUP BY 1, 2, 3)"""
 

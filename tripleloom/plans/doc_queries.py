@@ -31,7 +31,7 @@ sections AS (
   SELECT source AS document_id, CAST(doc_id AS VARCHAR) AS section_id, lang || ' overview' AS title, CAST(1 AS BIGINT) AS level, NULL AS parent,
          doc_id AS page_start, content FROM parts
   UNION ALL SELECT source, doc_id || '.1', 'state', 2, CAST(doc_id AS VARCHAR), doc_id, 'all ready' FROM parts)"""
-_FLAG = """CASE WHEN regexp_matches(lower(section_id || ' ' || title), 'tt|warning|chime') OR regexp_matches(lower(substr(content, 1, 1200)), 'tt|warning|chime')
+_FLAG = """CASE WHEN regexp_matches(lower(section_id || ' ' || title), 'tt|warning|chime') OR regexp_matches(lower(content), 'tt|warning|chime')
   THEN true ELSE length(content) >= 240 END"""
 
 
@@ -155,8 +155,8 @@ def dedup_units(spark, d):
 @query(
     "text_units",
     r"""WITH t AS (SELECT source, doc_id, lang, regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents)
-        SELECT source AS document_id, 'ru_' || doc_id || '_text' AS unit_id, md5(substr(c, 1, 1600)) AS expected_md5 FROM t
-        WHERE length(c) >= 120 AND lang <> 'fr' AND lang <> 'es' AND (lang = 'de' OR regexp_matches(lower(substr(c, 1, 1200)), 'tt|warning|chime'))""",
+        SELECT source AS document_id, 'ru_' || doc_id || '_text' AS unit_id, md5(c) AS expected_md5 FROM t
+        WHERE length(c) >= 120 AND lang <> 'fr' AND lang <> 'es' AND (lang = 'de' OR regexp_matches(lower(c), 'tt|warning|chime'))""",
 )
 def text_units(spark, d):
     sections = B.table(spark, d, "documents").select(

@@ -151,14 +151,14 @@ def risk_scores(spark, d):
     "safety_triples",
     f"""{B.RISK_CTE}, fam AS (
       SELECT vehicle_key AS head, 'HAS_RISK_SCENARIO' AS relation, risk_scenario AS tail,
-             substr(sample_evidence, 1, 300) AS evidence, vehicle_key, scenario_id AS t, 0 AS f, 0 AS r FROM scenarios
-      UNION ALL SELECT risk_scenario, 'AFFECTS_COMPONENT', refined_component, substr(sample_evidence, 1, 300),
+             sample_evidence AS evidence, vehicle_key, scenario_id AS t, 0 AS f, 0 AS r FROM scenarios
+      UNION ALL SELECT risk_scenario, 'AFFECTS_COMPONENT', refined_component, sample_evidence,
              vehicle_key, scenario_id, 0, 0 FROM scenarios
-      UNION ALL SELECT risk_scenario, 'GENERATES_TEST_CASE', scenario_id, substr(sample_evidence, 1, 300),
+      UNION ALL SELECT risk_scenario, 'GENERATES_TEST_CASE', scenario_id, sample_evidence,
              vehicle_key, scenario_id, 0, 0 FROM scenarios
-      UNION ALL SELECT vehicle_key, 'HAS_RECALL', campaign_number, substr(summary, 1, 300), vehicle_key, '', 0, row_id FROM recalls
-      UNION ALL SELECT vehicle_key, 'HAS_COMPLAINT', odi_number, substr(summary, 1, 300), vehicle_key, '', 0, row_id FROM complaints
-      UNION ALL SELECT source_id, 'INDICATES_RISK', risk_scenario, substr(evidence, 1, 300), vehicle_key, '', family, row_id FROM testable)
+      UNION ALL SELECT vehicle_key, 'HAS_RECALL', campaign_number, summary, vehicle_key, '', 0, row_id FROM recalls
+      UNION ALL SELECT vehicle_key, 'HAS_COMPLAINT', odi_number, summary, vehicle_key, '', 0, row_id FROM complaints
+      UNION ALL SELECT source_id, 'INDICATES_RISK', risk_scenario, evidence, vehicle_key, '', family, row_id FROM testable)
       SELECT head, relation, tail, md5(evidence) AS evidence_md5, vehicle_key FROM (
         SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY t, f, r) AS rn FROM fam) WHERE rn = 1""",
 )
@@ -182,7 +182,7 @@ def _tpl(field: str) -> str:
         {_tpl('title')} AS test_case_title, test_objective, {_tpl('environment')} AS test_environment,
         {_tpl('preconditions')} AS preconditions, {_tpl('steps')} AS test_steps, {_tpl('signals')} AS observed_signals,
         expected_result, {_tpl('criteria')} AS pass_fail_criteria, priority_score, evidence_count,
-        substr(sample_evidence, 1, 300) AS sample_evidence FROM scenarios""",
+        sample_evidence AS sample_evidence FROM scenarios""",
 )
 def risk_test_cases(spark, d):
     return risk.risk_test_cases(scenarios(spark, d), B.case_templates(spark))

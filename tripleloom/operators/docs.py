@@ -476,7 +476,7 @@ def topic_clusters(items: DataFrame, by_unit: bool, rules=V.TOPIC_RULES) -> Data
     keywords = listed(words, F.col("word"), "keywords")
     first_seen = tagged.select(*key, "seq", F.posexplode("test_intents").alias("_p", "intent")).groupBy(*key, "intent").agg(F.min(F.struct("seq", "_p")).alias("_s"))
     intents = listed(top_k_per_key(first_seen, key, [F.col("_s")], 10), F.col("intent"), "test_intents")
-    # clusters of one document are few: number them by first appearance
+    # by topic there are as many clusters as topics in a document; by_unit, as sections times topics: still one document's
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("_first"))
     named = base.withColumn("cluster_id", F.concat(F.format_string("topic_%02d_", index), F.col("group_id")))
     out = named.join(summary, key, "left").join(keywords, key, "left").join(intents, key, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, name: str =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed; Python operators import it there."""
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="ship-")
+    archive = shutil.make_archive(os.path.join(folder, "tripleloom"), "zip", parent, "tripleloom")
+    spark.sparkContext.addPyFile(archive)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the session's, or a scratch folder in local mode only."""
     sc = spark.sparkContext
@@ -47,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it back.
 
+    The folder belongs to the session; whoever sets it empties it after the run.
+
     A lost executor costs a re-read only, and later joins see the real size of the
     table, which lets Spark broadcast the small ones.
     """

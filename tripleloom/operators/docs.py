@@ -41,6 +41,8 @@ def split_sections(pages: DataFrame, repair: bool = True) -> DataFrame:
     """Numbered sections of markdown pages (document_id, page, text), ``seq`` in document order."""
     text = T.repair_text(F.coalesce("text", F.lit(""))) if repair else F.coalesce("text", F.lit(""))
     source = pages.select("document_id", F.coalesce("page", F.lit(1)).cast("long").alias("page"), text.alias("text"))
+    if repair:
+        source = materialise(source)  # read three times below: repaired once
     raw = source.select("document_id", "page", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "raw"))
     lines = raw.select("document_id", "page", "pos", T.strip("raw").alias("line"))
     header = r"(?U)" + V.SECTION_HEADER

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..session import materialise
 from .scale import first_per_key, in_passes, top_k_per_key
 
 MAX_QUERIES = 200
@@ -52,7 +53,8 @@ def lexical_triples(
         F.size("tokens") > 0
     )
     share = min_score / 100.0
-    found = in_passes(asked, max_queries, lambda rows: _scored(records, queries, rows, share, cap, k))
+    # read twice below: scored once
+    found = materialise(in_passes(asked, max_queries, lambda rows: _scored(records, queries, rows, share, cap, k)))
     best = found.groupBy("query_id").agg(F.max("raw_score").alias("_max"))
     relative = found.join(best, "query_id").withColumn("score", F.round(F.col("raw_score") / F.col("_max") * 100, 2)).drop("_max")
     strong = relative.where(F.col("score") > min_score)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import to_count, to_flag
+from ..session import materialise
 from .rules import Rules, classify_risk, is_non_testable, refine_component
 from .scale import first_per_key, global_rank, top_k_per_key
 
@@ -130,7 +131,8 @@ def weight_of(scenario: Column | str, weights: dict[str, int] = V.RISK_WEIGHTS)
 
 def score_risks(groups: DataFrame, weights: dict[str, int] = V.RISK_WEIGHTS) -> DataFrame:
     """Frequency, severity, min-max normalised scores and priority."""
-    raw = (
+    # bounds, ranking and numbering all read it: the text rules run once
+    raw = materialise(
         groups.withColumn("rw", weight_of("risk_scenario", weights))
         .withColumn("frequency_score", round2(F.log1p(F.col("evidence_count").cast("double"))))
         .withColumn(

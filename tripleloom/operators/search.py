@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import question_tokens
+from ..session import materialise
 from .rules import any_contains, contains_join
 from .scale import first_per_key, in_passes, top_k_per_key
 
@@ -49,7 +50,7 @@ def search_cases(cases: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
         + weight(F.lower(_list("actions")).contains(n) | F.lower(_list("expected_behaviors")).contains(n), 0.1)
         + weight(F.lower(_list("preconditions")).contains(n), 0.05)
     )
-    scored = hits.withColumn("score", F.round(F.least(score, F.lit(0.999)), 4)).drop("_needle")
+    scored = materialise(hits.withColumn("score", F.round(F.least(score, F.lit(0.999)), 4)).drop("_needle"))
     totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     order = [F.desc("score"), F.asc("case_name"), F.asc("source_row")]
     return top_k_per_key(scored, ["query_id"], order, limit).join(totals, "query_id")

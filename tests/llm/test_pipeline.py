@@ -33,7 +33,7 @@ def test_stages_are_those_of_the_contract():
 def test_pipeline_equals_its_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    predicted = {(r.doc_id, r.lang_pred, r.score >= 0.5) for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    predicted = {(r.doc_id, r.lang_pred, r.score >= 0.3) for r in language_id.predict(docs, language_id.train(docs)).collect()}
     stays = {d for d, lang, sure in predicted if lang != "und" and sure}
     known = docs.where("doc_id is null or doc_id in ({})".format(",".join(str(d) for d in stays if d is not None)))
     known = language_id.identified(known)

@@ -150,7 +150,7 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     return found.select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows with a predicted language and a score of at least `least`, all columns as they were; learns from all labelled rows of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
 

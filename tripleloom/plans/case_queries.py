@@ -152,14 +152,14 @@ def list_cases(spark, d):
     "filter_by_relevance",
     f"""WITH {B.CASES_SQL}, c AS (SELECT test_type AS query_id, case_name, source_row FROM cases),
         s AS (SELECT 'order ' || o_orderstatus || ' of customer ' || o_custkey AS case_name, o_orderpriority AS query_id, max(round(o_totalprice / 500000, 2)) AS score
-              FROM orders WHERE o_totalprice > 300000 GROUP BY 1, 2)
+              FROM orders GROUP BY 1, 2)
         SELECT c.query_id, c.case_name, source_row, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY c.query_id
           ORDER BY coalesce(score, 0) >= 0.8 DESC, coalesce(score, 0) DESC, source_row) AS rank
         FROM c LEFT JOIN s ON c.query_id = s.query_id AND c.case_name = s.case_name QUALIFY rank <= 5""",
 )
 def filter_by_relevance(spark, d):
     cases = B.cases(spark, d).select(F.col("test_type").alias("query_id"), "case_name", "source_row")
-    scores = B.table(spark, d, "orders").where(F.col("o_totalprice") > 300000).select(
+    scores = B.table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("query_id"),
         F.concat(F.lit("order "), F.col("o_orderstatus"), F.lit(" of customer "), F.col("o_custkey")).alias("name"),
         F.round(F.col("o_totalprice") / 500000, 2).alias("score"),

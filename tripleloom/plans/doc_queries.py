@@ -282,16 +282,15 @@ def topic_clusters(spark, d):
 @query(
     "section_refs",
     """SELECT d.source AS document_id, d.lang AS section_id, coalesce(n.n_name, arg_max(CAST(d.doc_id AS VARCHAR), d.doc_id)) AS title,
-         coalesce(max(n.n_regionkey), max(d.doc_id)) AS page_start FROM documents d LEFT JOIN nation n ON n.n_nationkey = 1 AND d.lang = 'en' GROUP BY 1, 2, n.n_name""",
+         coalesce(max(n.n_regionkey), max(d.doc_id)) AS page_start FROM documents d LEFT JOIN nation n ON d.source = 'src' || n.n_nationkey AND d.lang = 'en' GROUP BY 1, 2, n.n_name""",
 )
 def section_refs(spark, d):
     items = topic_docs(spark, d).withColumn("section_id", F.col("title")).withColumn("title", F.col("seq").cast("string")).withColumn(
         "page_start", F.when(F.col("section_id") != "en", F.col("seq"))
     )
-    nation = B.table(spark, d, "nation").where(F.col("n_nationkey") == 1)
-    sources = topic_docs(spark, d).select("document_id").distinct()
-    sections = sources.withColumn("k", F.lit(1)).join(nation, F.col("k") == F.col("n_nationkey")).select(
-        "document_id", F.lit("en").alias("section_id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("long").alias("page_start"),
+    # the nations describe the English sections of the sources of their number
+    sections = B.table(spark, d, "nation").select(
+        F.concat(F.lit("src"), F.col("n_nationkey")).alias("document_id"), F.lit("en").alias("section_id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("long").alias("page_start"),
         F.col("n_regionkey").cast("long").alias("page_end"), F.lit("p").alias("content_preview"),
     )
     return D.section_refs(items, sections, ["document_id"]).select("document_id", "section_id", "title", "page_start")
@@ -351,12 +350,12 @@ def apply_reviews(spark, d):
 
 @query(
     "upsert_documents",
-    """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
-       UNION ALL SELECT o_custkey, 'updated', max(o_totalprice) FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
+    """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+       UNION ALL SELECT o_custkey, 'updated', max(o_totalprice) FROM orders GROUP BY 1""",
 )
 def upsert_documents(spark, d):
     customer = B.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = B.table(spark, d, "orders").where(F.col("o_orderstatus") == "P").groupBy("o_custkey").agg(F.max("o_totalprice").alias("c_acctbal"))
+    new = B.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("c_acctbal"))
     return R.upsert(customer, new.select(F.col("o_custkey").alias("c_custkey"), F.lit("updated").alias("c_name"), "c_acctbal"), ["c_custkey"])
 
 
@@ -378,7 +377,7 @@ def registry_events(spark, d):
 @query(
     "submit_import",
     """WITH reg AS (SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'available' ELSE 'pending_review' END AS status, s_name, s_nationkey FROM supplier),
-         req AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity = 50)
+         req AS (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(*) % 2 = 0)
        SELECT 'S' || s_suppkey AS source_id, s_name AS name, status, CAST(s_nationkey AS BIGINT) AS case_count, NULL AS from_source_id FROM reg
        WHERE status = 'available' OR s_suppkey NOT IN (SELECT l_suppkey FROM req)
        UNION ALL SELECT CASE WHEN status = 'available' THEN 'build-' || s_suppkey ELSE 'S' || s_suppkey END, s_name, 'pending_review', s_nationkey,
@@ -390,7 +389,7 @@ def submit_import(spark, d):
         F.when(F.col("s_acctbal") > 5000, "available").otherwise("pending_review").alias("status"), F.col("s_nationkey").cast("long").alias("case_count"),
         (F.col("s_nationkey") * 3).cast("long").alias("triple_count"), F.lit(None).cast("string").alias("from_source_id"),
     )
-    asked = B.table(spark, d, "lineitem").where(F.col("l_quantity") == 50).select("l_suppkey").distinct()
+    asked = B.table(spark, d, "lineitem").groupBy("l_suppkey").count().where("count % 2 = 0")
     requests = asked.select(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("source_id"), F.concat(F.lit("build-"), F.col("l_suppkey")).alias("pending_id"), F.lit("").alias("name"),
         F.lit("").alias("domain"), F.lit("excel").alias("kind"), F.lit(0).cast("long").alias("case_count"), F.lit(None).cast("long").alias("triple_count"),

@@ -114,11 +114,12 @@ def clean_cell(spark, d):
       i AS (SELECT doc_id, item, {punct_sql(strip_sql(r"string_agg(regexp_replace(line, '^\d+[.、]\s*', ''), ' ' ORDER BY pos)"))} AS txt,
               {strip_sql(r"string_agg(regexp_replace(line, '^\d+[.、]\s*', ''), ' ' ORDER BY pos)")} AS raw_txt
             FROM g GROUP BY 1, 2)
-      SELECT doc_id, count(*) AS n, md5(string_agg(txt, '|' ORDER BY item)) AS items_md5 FROM i WHERE raw_txt <> '' GROUP BY 1""",
+      SELECT doc_id, count(raw_txt) AS n, md5(coalesce(string_agg(txt, '|' ORDER BY item), '')) AS items_md5
+      FROM documents LEFT JOIN (SELECT * FROM i WHERE raw_txt <> '') USING (doc_id) GROUP BY 1""",
 )
 def split_numbered_items(spark, d):
     items = T.split_numbered_items(numbered_text())
-    return _digest(docs(spark, d).select("doc_id", items.alias("items"))).where(F.col("n") > 0)
+    return _digest(docs(spark, d).select("doc_id", items.alias("items")))
 
 
 _HEADERS = ["编号", "用例编号名称", "测试标题。", "P11L_M2 v", "S12L_M1", "S12L_M1 P基线", "#", "步骤描述", "步骤", "预期结果", "SOP基线", "P基线x", "备注", "other header。", "nan"]

@@ -20,7 +20,7 @@ QUICK = [
     "lock_triples", "grouped_triples", "sanitize_triples", "fuse_exact", "quality_report", "apply_corrections", "pending_add", "apply_pending",
     "search_cases", "retrieve_cases", "graph_projection_nodes", "combination_cases", "reverse_plan", "knn_by_label", "key_entities_structured",
     "lexical_triples", "shortest_paths", "evidence_edges_structured", "split_sections", "requirement_units", "topic_clusters", "apply_reviews",
-    "read_cases", "stream_risk_counts",
+    "read_cases", "stream_risk_counts", "tolerant_jsonl", "repair_text", "changed_pairs",
 ]
 
 

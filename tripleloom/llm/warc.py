@@ -40,6 +40,7 @@ BREAK = b"\r\n"
 
 LEAST, FRAME_BYTES, BUNDLE_BYTES = 1000, 256 << 10, 32 << 20
 DATE = "2024-01-01T00:00:00Z"
+BUNDLES_A_TASK = 2
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -202,7 +203,9 @@ def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
 
 def read_back(index: DataFrame, folder: str, page_id_type: str = "long", with_payload: bool = False) -> DataFrame:
     """Every record of all bundles of the index, frame by frame; with_payload adds the bytes of responses."""
-    bundles = index.select("bundle").distinct()
+    bundles = materialise(index.select("bundle").distinct())
+    # names are small, bundles are not: rows alone would put them all into one task
+    bundles = bundles.repartition(max(1, -(-bundles.count() // BUNDLES_A_TASK)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

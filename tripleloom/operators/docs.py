@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..session import materialise
 from .rules import contains_join
-from .scale import carry_last, first_per_key, numbered, top_k_per_key
+from .scale import carry_last, first_per_key, top_k_per_key
 
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 UNIT_FIELDS = list(V.FIELD_KEYS)

@@ -11,7 +11,7 @@ from ..functions import fixed_values as V
 from ..functions.text import to_count, to_flag
 from ..session import materialise
 from .rules import Rules, classify_risk, is_non_testable, refine_component
-from .scale import first_per_key, global_rank, top_k_per_key
+from .scale import first_per_key, global_rank
 
 GROUP = ["vehicle_key", "risk_scenario", "refined_component"]
 

@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..operators import rules
 from . import bindings as B
 from .registry import Family
 

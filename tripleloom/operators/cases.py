@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as V
 from ..functions import text as T
 from .rules import any_contains
-from .scale import first_per_key, top_k_per_key
+from .scale import first_per_key, numbered, top_k_per_key
 
 
 def _label(c: str) -> Column:
@@ -113,7 +113,8 @@ def round_robin(
     order = [F.desc("_n"), F.asc("_stratum")] if strata == "largest" else [F.asc("_id"), F.asc("_stratum")]
     # one row per stratum
     ranked = sizes.withColumn("stratum_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
-    turns = top_k_per_key(labelled, ["_stratum"], list(within), n if n is not None else 2**31 - 1, "turn")
+    # without a limit a whole stratum is numbered, in blocks
+    turns = numbered(labelled, ["_stratum"], list(within), "turn") if n is None else top_k_per_key(labelled, ["_stratum"], list(within), n, "turn")
     out = turns.join(ranked.select("_stratum", "stratum_rank"), "_stratum").drop("_stratum").orderBy("turn", "stratum_rank")
     return out.limit(n) if n is not None else out
 

@@ -28,24 +28,27 @@ END = "\n"
 #: Marks that may end a word.
 MARKS = frozenset(".,;:!?")
 TOGETHER = 500
-_MEMOS: dict[str, tuple] = {}
+_MEMOS: dict[tuple[str, int], tuple] = {}
 
 
-def _worker_memo(spec: str) -> tuple:
-    """Tokenizer and memo of this worker; the memo outlives a task but not its limit."""
-    if spec not in _MEMOS:
+def _worker_memo(spec: str, end_id: int) -> tuple:
+    """Tokenizer and memo of this worker; the memo outlives a task but not its limit. It holds the end id, too."""
+    if (spec, end_id) not in _MEMOS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
         _MEMOS.clear()
-        _MEMOS[spec] = tokenizer, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, limit=900_000)
-    return _MEMOS[spec]
+        _MEMOS[spec, end_id] = tokenizer, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, limit=900_000)
+    return _MEMOS[spec, end_id]
 
 
 def _core(word: str) -> tuple[str, str]:
-    """What decides a word's ids, and a last mark that the pattern always cuts off. Case counts for nothing in ASCII."""
-    if word.isascii():
+    """What decides a word's ids, and a last mark that the pattern always cuts off. Case counts for nothing in ASCII.
+
+    Special tokens (`<|name|>`) are found before case is dropped, so a word that may hold one stays as it is.
+    """
+    if word.isascii() and "<|" not in word:
         if word[-1:] in MARKS and word[:-1].isalpha():
             return word[:-1].lower(), word[-1]
         return word.lower(), ""
@@ -77,7 +80,7 @@ def _learn(tokenizer, memo: Memo, words: list[str]) -> None:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): each text's ids and the end id, cut to the capacity.
+    """doc_id, piece, start, length, doc_tokens, ids (little-endian unsigned 32-bit): each text's ids and the end id, cut to the capacity.
 
     The vocabulary's patterns never match across white space, so a text is encoded word by word, each distinct word once.
     """
@@ -86,7 +89,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo = _worker_memo(shared.value)
+        tokenizer, memo = _worker_memo(shared.value, end_id)
         for batch in batches:
             memo.trim()
             if END not in memo:
@@ -101,7 +104,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
             _learn(tokenizer, memo, [w for w in set(words) if w not in memo])
             flat, counts = memo.ids(words, per_text)
             flat = flat.astype("<u4")
-            rows, pieces, starts, lengths, ids, at = [], [], [], [], [], 0
+            rows, pieces, starts, lengths, totals, ids, at = [], [], [], [], [], [], 0
             for row, n in enumerate(counts.tolist()):
                 for piece, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
@@ -109,15 +112,16 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                     pieces.append(piece)
                     starts.append(start)
                     lengths.append(length)
+                    totals.append(n)
                     ids.append(flat[at + start : at + start + length].tobytes())
                 at += n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows)), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
+                [batch.column("doc_id").take(pa.array(rows)), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "piece", "start", "length", "doc_tokens", "ids"],
             )
 
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return map_texts(inputs, "text", work, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return map_texts(inputs, "text", work, f"doc_id {kind}, piece int, start long, length long, doc_tokens long, ids binary")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.plans.registry import Family
 
-from . import byte_bpe, language_id, packing, ppm, prefix_trie, quality_classifier, quality_rules, sharding, simhash, structure_repair, topk, warc
+from . import bin_slack, byte_bpe, language_id, packing, ppm, prefix_trie, quality_classifier, quality_rules, sharding, simhash, structure_repair, topk, warc
 from .common import read
 
 FAMILY = Family()
@@ -77,6 +77,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@FAMILY.query("op11_minimum_bin_slack")
+def op11_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.minimum_slack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @FAMILY.query("op12_structure_repair")
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.structure_repair(read(spark, sf_dir, "conversations"))

@@ -216,9 +216,9 @@ def expected_nodes(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [1, 3, 20_000])
-def test_prefix_trie_equals_brute_force(conversations, limit):
-    got = prefix_trie.prefix_trie(conversations, limit)
+@pytest.mark.parametrize(("split", "limit"), [(1, 1), (3, 10), (128, 20_000)])
+def test_prefix_trie_equals_brute_force(conversations, split, limit):
+    got = prefix_trie.prefix_trie(conversations, split, limit)
     assert sorted(map(tuple, got.collect()), key=repr) == expected_nodes(_rows())
 
 

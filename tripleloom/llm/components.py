@@ -11,7 +11,8 @@ from .common import materialise
 def _with_least(pairs: DataFrame) -> DataFrame:
     """pairs (u, v) with `least`: the smallest of u and its partners."""
     least = pairs.groupBy("u").agg(F.min("v").alias("least"))
-    return pairs.join(least, "u").withColumn("least", F.least("u", "least"))
+    # dealt anew, so that the pairs of a hub can be split among tasks
+    return pairs.join(least.repartition("u"), "u").withColumn("least", F.least("u", "least"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Prefix trie of conversations: every distinct beginning is a node with its members, children, leaves and shared bytes.
 
 A turn is known by the MD5 of its role and text, so texts are read once and never move. Conversations become narrow
-sequences of turn keys; equal sequences are one row that carries how many there are. A prefix that more than `limit` different
+sequences of turn keys; equal sequences are one row that carries how many there are. A prefix that more than `split` different
 sequences share is an upper node; a sequence belongs to the shard of its first prefix that is none. Each task packs the
 sequences of its shards into double-array tries (BASE and CHECK over dense turn ids) of about `limit` sequences, walks them
 through the arrays and sums over subtrees. Nodes below the upper ones are in one trie only and so are final; what the tries
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-LIMIT = 20_000
+#: Sequences of one shard at most, so that shards can be dealt evenly; sequences of one trie, about.
+SPLIT, LIMIT = 128, 20_000
 #: Sharing of heads between conversations: families of five, heads of at most eight turns.
 FAMILY, HEADS = 5, 9
 KEY = 16
@@ -98,20 +99,20 @@ def prefix_ids(keys: bytes) -> list[bytes]:
     return out
 
 
-def upper_prefixes(sequences: DataFrame, limit: int) -> DataFrame:
-    """prefix: prefixes of at least one turn that more than `limit` of the distinct sequences share."""
+def upper_prefixes(sequences: DataFrame, split: int) -> DataFrame:
+    """prefix: prefixes of at least one turn that more than `split` of the distinct sequences share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys in batch.column("keys").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(prefix_ids(keys)[1:], pa.binary())], ["prefix"])
 
-    return sequences.select("keys").mapInArrow(work, "prefix binary").groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("prefix")
+    return sequences.select("keys").mapInArrow(work, "prefix binary").groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("prefix")
 
 
-def sharded(sequences: DataFrame, limit: int) -> DataFrame:
+def sharded(sequences: DataFrame, split: int) -> DataFrame:
     """With `upper` (how many nodes of the sequence, the root included, are upper nodes) and `shard`."""
-    heavy = materialise(upper_prefixes(sequences, limit))
+    heavy = materialise(upper_prefixes(sequences, split))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,7 @@ def sharded(sequences: DataFrame, limit: int) -> DataFrame:
                 found = prefix_ids(keys)[1:]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.binary()), pa.array(found, pa.binary())], ["id", "prefix"])
 
-    # at most as many upper prefixes as sequences / limit at each depth; joined by key, as nothing bounds the depth
+    # at most as many upper prefixes as sequences / split at each depth; joined by key, as nothing bounds the depth
     upper = sequences.select("id", "keys").mapInArrow(work, "id binary, prefix binary").join(heavy, "prefix").groupBy("id").agg((F.count(F.lit(1)) + 1).cast("int").alias("upper"))
     counted = sequences.join(upper, "id", "left").withColumn("upper", F.coalesce("upper", F.lit(1)))
     return counted.withColumn("shard", F.md5(F.substring("keys", F.lit(1), F.col("upper") * KEY)))
@@ -348,9 +349,9 @@ def equal_ids(keys: Column) -> Column:
     return F.unhex(F.md5(keys))
 
 
-def prefix_trie(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
+def prefix_trie(conversations: DataFrame, split: int = SPLIT, limit: int = LIMIT) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node."""
     all_sequences = materialise(rebuilt(conversations).withColumn("id", equal_ids(F.col("keys"))))
     distinct = all_sequences.groupBy("id").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
     sequences = materialise(distinct.join(ends(all_sequences), "id"))
-    return merged(materialise(shard_tries(sharded(sequences, limit), limit)))
+    return merged(materialise(shard_tries(sharded(sequences, split), limit)))

@@ -174,3 +174,17 @@ def test_equal_texts_share_a_shard(docs):
 
 def test_shards_of_empty_table(empty):
     assert sharding.shard(empty).count() == 0
+
+
+def test_memos_hold_bounded_bytes_of_text_without_blanks(vocabulary, reference):
+    rng = random.Random(6)
+    encoder = byte_bpe.Encoder(vocabulary)
+    encoder.memo.most = 8 << 20
+    most = 0
+    for _ in range(10):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9000)) if rng.random() > 0.03 else "。" for _ in range(170_000))  # 0.5 MB
+        flat, _ = encoder.encode([text])
+        most = max(most, encoder.memo.held)
+        assert len(encoder.known) <= encoder.PRETOKENS
+    assert most < (8 << 20) + 6 * len(text.encode())
+    assert flat.tolist() == reference.encode_ordinary(text)

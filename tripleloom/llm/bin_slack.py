@@ -226,7 +226,8 @@ def minimum_slack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
         whole = with_ids(parts, pieces).withColumn("ids_crc32", F.crc32("ids"))
     else:
         parts = materialise(parts)
-        cut = with_ids(parts.where("size < length"), pieces).withColumn("ids_crc32", F.crc32("ids"))
+        # written, so that its size is known before the ids would be dealt
+        cut = with_ids(materialise(parts.where("size < length")), pieces).withColumn("ids_crc32", F.crc32("ids"))
         whole = parts.where("size = length").unionByName(cut.select(*parts.columns))
     extra = ["ids"] if keep_ids else []
     return whole.select("doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("size").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset", *extra)

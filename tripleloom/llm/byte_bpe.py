@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,7 +116,8 @@ class Vocabulary:
         by_id = [b""] * top
         for key, i in tokens.items():
             by_id[i] = key
-        self.sizes = np.array([len(k) if k else -1 for k in by_id], np.int64)
+        self.lengths = [len(k) if k else -1 for k in by_id]
+        self.sizes = np.array(self.lengths, np.int64)
         self.starts = np.cumsum([0, *map(len, by_id)])[:-1]
         self.content = np.frombuffer(b"".join(by_id), np.uint8)
 
@@ -130,24 +132,30 @@ class Vocabulary:
         return self.ids[slot] if self.keys[slot] == token else None
 
     def merge(self, word: bytes) -> list[int]:
-        """Merges of a word that is no token, lowest rank first, leftmost among equals."""
-        end, ranks = len(word), self.ranks
-        following, before = list(range(1, end + 1)), list(range(-1, end))
-        # an entry: rank, left part, where the right part begins and stops
-        heap = [(ranks[pair], i, i + 1, i + 2) for i in range(end - 1) if (pair := word[i : i + 2]) in ranks]
+        """Merges of a word that is no token, lowest rank first, leftmost among equals.
+
+        A heap entry is one number: rank, and place of the left part. The rank's token tells where the right part stops, so an
+        entry is stale if the two parts at its place stop elsewhere.
+        """
+        end, rank_of, lengths = len(word), self.ranks.get, self.lengths
+        following, before = [*range(1, end + 1), -1], list(range(-1, end))
+        heap = [rank << 32 | i for i in range(end - 1) if (rank := rank_of(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         push, pop = heapq.heappush, heapq.heappop
         while heap:
-            _, left, right, stop = pop(heap)
-            if following[left] != right or following[right] != stop:  # either part was merged meanwhile
+            entry = pop(heap)
+            left = entry & 0xFFFFFFFF
+            stop = left + lengths[entry >> 32]
+            right = following[left]
+            if right < 0 or following[right] != stop:  # either part was merged meanwhile
                 continue
             following[left], following[right] = stop, -1
             before[stop] = left
-            if stop < end and (pair := word[left : following[stop]]) in ranks:
-                push(heap, (ranks[pair], left, stop, following[stop]))
-            if (first := before[left]) >= 0 and (pair := word[first:stop]) in ranks:
-                push(heap, (ranks[pair], first, left, stop))
-        out, at = [], 0
+            if stop < end and (rank := rank_of(word[left : following[stop]])) is not None:
+                push(heap, rank << 32 | left)
+            if (first := before[left]) >= 0 and (rank := rank_of(word[first:stop])) is not None:
+                push(heap, rank << 32 | first)
+        out, at, ranks = [], 0, self.ranks
         while at < end:
             out.append(ranks[word[at : following[at]]])
             at = following[at]
@@ -170,25 +178,50 @@ class Vocabulary:
 
 
 class Encoder:
-    """A worker's memo of coarse pieces; each is cut by the pattern and every pre-token looked up."""
+    """A worker's memos of coarse pieces and of pre-tokens; a piece is cut by the pattern and every pre-token looked up once.
+
+    Pieces of more than `LONG` characters, as text without blanks has them, seldom return: they are cut before they are
+    looked up, and long pre-tokens are not kept apart. Memos are emptied before they hold more than their limit of bytes.
+    """
+
+    LONG, PRETOKENS = 64, 400_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.fine = regex.compile(vocabulary.pattern).findall
         self.coarse = regex.compile(COARSE).findall
-        self.memo = Memo(lambda piece: [i for pretoken in self.fine(piece) for i in vocabulary.word_ids(pretoken)])
+        self.known: dict[str, list[int]] = {}
+        self.memo = Memo(self._piece)
+
+    def _piece(self, piece: str) -> list[int]:
+        pretokens = self.fine(piece) if len(piece) <= self.LONG else [piece]  # a long one is a pre-token already
+        if len(pretokens) == 1:
+            return self._pretoken(pretokens[0])
+        return [i for pretoken in pretokens for i in self._pretoken(pretoken)]
+
+    def _pretoken(self, pretoken: str) -> list[int]:
+        ids = self.known.get(pretoken)
+        if ids is None:
+            ids = self.vocabulary.word_ids(pretoken)
+            if len(pretoken) <= self.LONG:
+                self.known[pretoken] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         self.memo.trim()
+        if len(self.known) > self.PRETOKENS:
+            self.known.clear()
         pieces, per_text = [], []
         for text in texts:
             own = self.coarse(text) if text else []
+            if text and max(map(len, own)) > self.LONG:
+                own = [part for piece in own for part in ((piece,) if len(piece) <= self.LONG else self.fine(piece))]
             pieces += own
             per_text.append(len(own))
         return self.memo.ids(pieces, per_text)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
@@ -203,7 +236,7 @@ class _Shared:
 
     def __init__(self, spark, vocabulary: Vocabulary):
         self.broadcast = spark.sparkContext.broadcast(vocabulary)
-        self.id = id(vocabulary)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> Vocabulary:

@@ -9,19 +9,28 @@ import numpy as np
 
 
 class Memo(dict):
-    """piece -> place of its ids in one flat array. Emptied by `trim` when it holds more than `limit` pieces."""
+    """piece -> place of its ids in one flat array. Emptied by `trim` when it holds more than `limit` pieces or `most` bytes."""
 
-    def __init__(self, encode: Callable[[str], Sequence[int]], limit: int = 600_000):
+    #: What a piece takes besides its characters and ids: dictionary entry, string and integer objects, place.
+    EACH = 200
+
+    def __init__(self, encode: Callable[[str], Sequence[int]], limit: int = 600_000, most: int = 240 << 20):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.most = encode, limit, most
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
         self.flat, self.starts, self.sizes = array("i"), array("i"), array("i")
+        self.characters = 0
+
+    @property
+    def held(self) -> int:
+        """Bytes, with four for each character at most."""
+        return self.EACH * len(self) + 4 * (self.characters + len(self.flat))
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.most:
             self._reset()
 
     def put(self, piece: str, ids: Sequence[int]) -> int:
@@ -29,6 +38,7 @@ class Memo(dict):
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
+        self.characters += len(piece)
         self[piece] = place
         return place
 

@@ -94,10 +94,10 @@ def test_case_matching_equals_greedy(spark, seed):
     assert got == brute_match(cand, cur)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_changed_pairs_equal_serial_pick(spark, seed):
+@pytest.mark.parametrize(("seed", "heads", "tails", "n"), [(1, 3, 9, 14), (2, 3, 9, 14), (3, 20, 6, 40), (4, 1, 60, 40), (5, 40, 1, 40)])
+def test_changed_pairs_equal_serial_pick(spark, seed, heads, tails, n):
     rng = random.Random(seed)
-    facts = [(f"c{c}", "r", f"h{rng.randint(0, 3)}", f"t{rng.randint(0, 9)}") for c in range(6) for _ in range(14)]
+    facts = [(f"c{c}", "r", f"h{rng.randint(0, heads)}", f"t{rng.randint(0, tails)}") for c in range(6) for _ in range(n)]
     facts = sorted(set(facts))
     rng.shuffle(facts)
     old, new = sorted(facts[: len(facts) // 2]), facts[len(facts) // 2 :]

@@ -1,18 +1,20 @@
-"""Lexical retrieval of document triples, batched by query."""
+"""Lexical retrieval of document triples over an inverted index."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
 from ..session import materialise
-from .scale import first_per_key, in_passes, top_k_per_key
+from .inverted import essential, partials, rarest, with_frequency
+from .scale import first_per_key, top_k_per_key
 
-MAX_QUERIES = 200
-ROWS_AT_ONCE = 1_000
+#: Tokens and rows of a query that give a first best score.
+PROBES, PROBED = 12, 4
 RECORD = ["doc_name", "head", "relation", "tail"]
+#: What the four fields of a row can add at most.
+MOST_EXTRA = 40.0
 
 
 def cap_per_group(df: DataFrame, query: list[str], group: str, order: list, cap: int, k: int) -> DataFrame:
@@ -27,7 +29,6 @@ def lexical_triples(
     k: int = 20,
     cap: int = 6,
     min_score: float = 75.0,
-    max_queries: int = MAX_QUERIES,
 ) -> DataFrame:
     """Triples that share words and character n-grams with the queries.
 
@@ -36,10 +37,9 @@ def lexical_triples(
     triple of the query; rows above ``min_score``, at most ``cap`` per document
     and ``k`` per query.
 
-    A batch of triples is scored against a bounded set of queries and passes on
-    only what can still be selected: above the threshold of its own best score,
-    distinct, within the caps.  The caps of a part never cut what the caps of the
-    whole would keep.
+    The triples are an inverted index.  The rows of each query's rarest tokens give a first best score; from it follows what
+    a row must reach, and so which tokens may be left out of the search.  Only rows that the other tokens bring up, and that could
+    still reach the bound with all that was left out, are scored.
     """
     clean = triples.select(
         "row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in RECORD],
@@ -47,13 +47,28 @@ def lexical_triples(
         F.coalesce("conflict_note", F.lit("")).alias("conflict_note"),
     ).where(F.concat("head", "relation", "tail") != "")
     text = F.concat_ws(" ", *RECORD, F.array_join("sources", " "))
-    records = clean.withColumn("_tokens", lexical_tokens(text))
-    asked = queries.select("query_id", F.trim("query").alias("query"), lexical_tokens(F.trim("query")).alias("tokens")).where(
-        F.size("tokens") > 0
+    # read several times below: tokens are cut once
+    records = materialise(clean.withColumn("_tokens", lexical_tokens(text)).withColumn("_row", F.monotonically_increasing_id()))
+    asked = materialise(
+        queries.select("query_id", F.trim("query").alias("query"), lexical_tokens(F.trim("query")).alias("tokens")).where(F.size("tokens") > 0)
     )
+    features = asked.select("query_id", F.explode("tokens").alias("feature")).withColumn("weight", _weight(F.col("feature")))
+    wanted = features.select("feature").distinct()
+    postings = materialise(records.select("_row", F.explode("_tokens").alias("feature")).join(wanted, "feature"))
+    known = materialise(with_frequency(features, postings))
+    # any row's score is a lower bound of the best; rows of rare tokens are good ones
+    probes = partials(postings, rarest(known, PROBES), row="_row")
+    good = top_k_per_key(probes, ["query_id"], [F.desc("partial"), F.asc("_row")], PROBED).select("query_id", "_row")
     share = min_score / 100.0
-    # read twice below: scored once
-    found = materialise(in_passes(asked, max_queries, lambda rows: _scored(records, queries, rows, share, cap, k)))
+    first = _scored(good, asked, records).groupBy("query_id").agg(F.max("raw_score").alias("_first"))
+    # scores are rounded; a thousandth is more than rounding can add
+    least = first.select("query_id", (share * F.col("_first") - 0.001).alias("_least"))
+    bounds = least.select("query_id", (F.col("_least") - MOST_EXTRA).alias("bound"))
+    needed = materialise(essential(known, bounds))
+    rests = needed.groupBy("query_id").agg(F.first("_rest").alias("_rest")).join(least, "query_id")
+    candidates = partials(postings, needed.select("query_id", "feature", "weight"), row="_row").join(rests, "query_id")
+    possible = candidates.where(F.col("partial") + F.col("_rest") + MOST_EXTRA >= F.col("_least")).select("query_id", "_row", "partial", "_rest", "_least")
+    found = materialise(_scored(possible, asked, records))
     best = found.groupBy("query_id").agg(F.max("raw_score").alias("_max"))
     relative = found.join(best, "query_id").withColumn("score", F.round(F.col("raw_score") / F.col("_max") * 100, 2)).drop("_max")
     strong = relative.where(F.col("score") > min_score)
@@ -61,61 +76,30 @@ def lexical_triples(
     return cap_per_group(distinct, ["query_id"], "doc_name", [F.desc("score"), F.asc("row_id")], cap, k)
 
 
-def _scored(records: DataFrame, queries: DataFrame, asked: list, share: float, cap: int, k: int) -> DataFrame:
-    words = sorted({t for r in asked for t in r["tokens"]})
-    at = {w: i for i, w in enumerate(words)}
-    weight = np.zeros((len(words), len(asked)))
-    for q, r in enumerate(asked):
-        for t in r["tokens"]:
-            weight[at[t], q] = 1.0 + min(len(t), 8) / 8.0
-    ids = [r["query_id"] for r in asked]
-    lowered = [r["query"].lower() for r in asked]
-    compact = ["".join(q.split()) for q in lowered]
-
-    def boost(value: str) -> np.ndarray:
-        value = value.lower()
-        short = "".join(value.split())
-        out = np.zeros(len(ids))
-        for q in range(len(ids)):
-            if value and value in lowered[q]:
-                out[q] += 3.0
-            if short and short in compact[q]:
-                out[q] += 3.0
-            if compact[q] and compact[q] in short:
-                out[q] += 4.0
-        return out
-
-    def score(batches):
-        seen: dict[str, np.ndarray] = {}
-
-        def cached(value: str) -> np.ndarray:
-            if value not in seen:
-                if len(seen) > 20_000:
-                    seen.clear()
-                seen[value] = boost(value)
-            return seen[value]
-
-        for pdf in batches:
-            for start in range(0, len(pdf), ROWS_AT_ONCE):
-                part = pdf.iloc[start : start + ROWS_AT_ONCE]
-                hit = np.zeros((len(part), len(words)), dtype=np.float32)
-                for row, tokens in enumerate(part["_tokens"]):
-                    hit[row, [at[t] for t in tokens if t in at]] = 1.0
-                raw = hit @ weight
-                touched = raw > 0
-                for c in ("head", "relation", "tail", "doc_name"):
-                    raw += np.stack([cached(v) for v in part[c]])
-                raw = np.where(part["conflict"].to_numpy()[:, None], raw * 0.85, raw)
-                raw = np.where(touched, np.round(raw, 4), 0.0)
-                rows, qs = np.nonzero(touched & (raw > share * raw.max(axis=0)))
-                if not len(rows):
-                    continue
-                out = part.drop(columns="_tokens").iloc[rows].assign(query_id=[ids[q] for q in qs], raw_score=raw[rows, qs])
-                out = out.sort_values(["raw_score", "row_id"], ascending=[False, True])
-                out = out.drop_duplicates(["query_id", *RECORD])
-                out = out[out.groupby(["query_id", "doc_name"]).cumcount() < cap]
-                yield out[out.groupby("query_id").cumcount() < k]
-
-    kind = dict(queries.dtypes)["query_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != "_tokens")
-    return records.mapInPandas(score, f"{schema}, query_id {kind}, raw_score double")
+def _weight(token: Column) -> Column:
+    return 1.0 + F.least(F.char_length(token), F.lit(8)) / 8.0
+
+
+def _extra(value: str) -> Column:
+    """What a field adds if it is in the query, or the query in it."""
+    own, asked = F.lower(F.col(value)), F.lower("query")
+    short, compact = (F.regexp_replace(c, r"(?U)\s+", "") for c in (own, asked))
+    none = F.lit(0.0)
+    return (
+        F.when((own != "") & F.contains(asked, own), 3.0).otherwise(none)
+        + F.when((short != "") & F.contains(compact, short), 3.0).otherwise(none)
+        + F.when((compact != "") & F.contains(short, compact), 4.0).otherwise(none)
+    )
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, records: DataFrame) -> DataFrame:
+    """Records of pairs (query_id, _row) with their raw_score; with _rest and _least, only pairs whose fields let them reach it."""
+    both = pairs.join(records, "_row").join(asked, "query_id")
+    extra = sum((_extra(c) for c in [*RECORD[1:], RECORD[0]]), F.lit(0.0))
+    both = both.withColumn("_extra", extra)
+    if "_rest" in pairs.columns:
+        both = both.where(F.col("partial") + F.col("_rest") + F.col("_extra") >= F.col("_least"))
+    shared = F.aggregate(F.array_intersect("_tokens", "tokens"), F.lit(0.0), lambda total, t: total + _weight(t))
+    raw = (shared + F.col("_extra")) * F.when(F.col("conflict"), 0.85).otherwise(1.0)
+    kept = [c for c in records.columns if c not in ("_row", "_tokens")]
+    return both.where(F.arrays_overlap("_tokens", "tokens")).select(*kept, "query_id", F.round(raw, 4).alias("raw_score"))

@@ -1,17 +1,16 @@
-"""Keyword search and question retrieval over normalised test cases, batched by query."""
+"""Keyword search and question retrieval over normalised test cases, many queries at once."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import question_tokens
 from ..session import materialise
+from .inverted import tokens_in_words
 from .rules import any_contains, contains_join
-from .scale import first_per_key, in_passes, top_k_per_key
+from .scale import first_per_key, top_k_per_key
 
 CASE_COLUMNS = ["case_id", "case_name", "test_type", "preconditions", "actions", "expected_behaviors", "source", "source_row"]
 
@@ -56,54 +55,42 @@ def search_cases(cases: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
     return top_k_per_key(scored, ["query_id"], order, limit).join(totals, "query_id")
 
 
-MAX_QUESTIONS = 200
-
-
-def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, max_questions: int = MAX_QUESTIONS) -> DataFrame:
+def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early: int | None = 12) -> DataFrame:
     """Cases for questions (question_id, question): token hits by length, name and type bonus, rank ≤ limit.
 
-    The cases are read once per ``max_questions`` questions and never shuffled:
-    each Arrow batch is scored against all those questions and passes on only its
-    own best ``limit`` cases per question, of which the best overall are kept.
+    A token stands inside one word, so tokens meet the distinct words, and words their cases: an inverted index, joined by keys.
+    Cases in which the same tokens hit the same fields score alike for every question; they are one entry of the index, of
+    which only the ``limit`` first by name and row can be asked for.  ``early``: tokens that may earn the bonus, None for all.
     """
-    tokens = questions.select("question_id", question_tokens("question").alias("tokens")).where(F.size("tokens") > 0)
-    texts = cases.select(*CASE_COLUMNS, search_blob().alias("_blob"))
-    best = in_passes(tokens, max_questions, lambda asked: _best_per_batch(texts, questions, asked, limit))
-    scored = best.withColumn("score", F.round("score", 4))
-    return top_k_per_key(scored, ["question_id"], [F.desc("score"), F.asc("case_name"), F.asc("source_row")], limit)
-
-
-def _best_per_batch(texts: DataFrame, questions: DataFrame, asked: list, limit: int) -> DataFrame:
-    words = sorted({t for row in asked for t in row["tokens"]})
-    at = {w: i for i, w in enumerate(words)}
-    weight = np.zeros((len(words), len(asked)))
-    early = np.zeros((len(words), len(asked)), dtype=np.float32)
-    for q, row in enumerate(asked):
-        for i, t in enumerate(row["tokens"]):
-            weight[at[t], q] = max(len(t) / 8.0, 0.15)
-            early[at[t], q] = 1.0 if i < 12 else 0.0
-    ids = [row["question_id"] for row in asked]
-
-    def hits(column: pd.Series) -> np.ndarray:
-        return np.array([[w in text for w in words] for text in column], dtype=np.float32).reshape(len(column), len(words))
-
-    def score(batches):
-        for pdf in batches:
-            total = np.minimum(hits(pdf["_blob"]) @ weight, 1.2)
-            found = total > 0
-            total = total + 0.35 * (hits(pdf["case_name"].fillna("").str.lower()) @ early > 0)
-            total = total + 0.2 * (hits(pdf["test_type"].fillna("").str.lower()) @ early > 0)
-            total = np.where(found, np.round(np.minimum(total, 0.999), 4), -1.0)
-            order = pdf.sort_values(["case_name", "source_row"]).index.to_numpy()
-            place = np.argsort(-total[order], axis=0, kind="stable")[:limit]
-            rows, qs = order[place].T.ravel(), np.repeat(np.arange(len(ids)), place.shape[0])
-            keep = total[rows, qs] > 0
-            out = pdf.iloc[rows[keep]].drop(columns="_blob")
-            yield out.assign(question_id=[ids[q] for q in qs[keep]], score=total[rows[keep], qs[keep]])
-
-    kind = dict(questions.dtypes)["question_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_blob")
-    return texts.mapInPandas(score, f"{schema}, question_id {kind}, score double")
+    rows = materialise(cases.select(*CASE_COLUMNS, search_blob().alias("_blob")).withColumn("_row", F.monotonically_increasing_id()))
+    asked = questions.select("question_id", F.posexplode(question_tokens("question")).alias("_place", "token"))
+    bonus = F.lit(True) if early is None else F.col("_place") < early
+    asked = materialise(asked.withColumns({"weight": F.greatest(F.char_length("token") / 8.0, F.lit(0.15)), "bonus": bonus}).drop("_place"))
+
+    def words(c: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)[\w\u4e00-\u9fff]+"), F.lit(0)))
+
+    fields = {0: F.col("_blob"), 1: F.lower(_text("case_name")), 2: F.lower(_text("test_type"))}
+    cut = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), words(c).alias("words")) for n, c in fields.items()])).alias("f"))
+    cut = cut.select("_row", "f.field", F.explode("f.words").alias("word"))
+    inside = materialise(tokens_in_words(cut, asked))
+    hits = cut.join(inside, "word").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("token", "field"))).alias("_hits"))
+    # cases without any hit have no entry
+    alike = rows.drop("_blob").join(hits, "_row").withColumn("_entry", F.sha2(F.to_json("_hits"), 256))
+    first = materialise(top_k_per_key(alike, ["_entry"], [F.asc("case_name"), F.asc("source_row"), F.asc("_row")], limit, "_in_entry"))
+    head = first.where("_in_entry = 1").select("_entry", "case_name", "source_row", "_hits")
+    postings = head.select("_entry", F.explode("_hits").alias("h")).groupBy("_entry", F.col("h.token").alias("token")).agg(
+        F.max(F.col("h.field") == 1).alias("_name"), F.max(F.col("h.field") == 2).alias("_type")
+    )
+    scored = postings.join(asked, "token").groupBy("question_id", "_entry").agg(
+        F.sum("weight").alias("weight"), F.max(F.col("_name") & F.col("bonus")).alias("_name"), F.max(F.col("_type") & F.col("bonus")).alias("_type")
+    )
+    total = F.least("weight", F.lit(1.2)) + F.when(F.col("_name"), 0.35).otherwise(0.0) + F.when(F.col("_type"), 0.2).otherwise(0.0)
+    scored = scored.select("question_id", "_entry", F.round(F.least(total, F.lit(0.999)), 4).alias("score"))
+    order = [F.desc("score"), F.asc("case_name"), F.asc("source_row")]
+    best = top_k_per_key(scored.join(head.drop("_hits"), "_entry"), ["question_id"], [*order, F.asc("_entry")], limit).select("question_id", "_entry", "score")
+    out = best.join(first.drop("_hits", "_in_entry"), "_entry")
+    return top_k_per_key(out, ["question_id"], [*order, F.asc("_row")], limit).select(*CASE_COLUMNS, "question_id", "score", "rank")
 
 
 def asks_for_types(question: Column | str) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -181,36 +181,29 @@ class Encoder:
     """A worker's memos of coarse pieces and of pre-tokens; a piece is cut by the pattern and every pre-token looked up once.
 
     Pieces of more than `LONG` characters, as text without blanks has them, seldom return: they are cut before they are
-    looked up, and long pre-tokens are not kept apart. Memos are emptied before they hold more than their limit of bytes.
+    looked up. Memos are emptied before they hold more than their limit of bytes.
     """
 
-    LONG, PRETOKENS = 64, 400_000
+    LONG, PRETOKENS = 64, 1_200_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.fine = regex.compile(vocabulary.pattern).findall
         self.coarse = regex.compile(COARSE).findall
-        self.known: dict[str, list[int]] = {}
+        self.known = Memo(vocabulary.word_ids, self.PRETOKENS)
         self.memo = Memo(self._piece)
 
-    def _piece(self, piece: str) -> list[int]:
-        pretokens = self.fine(piece) if len(piece) <= self.LONG else [piece]  # a long one is a pre-token already
+    def _piece(self, piece: str) -> Sequence[int]:
+        if len(piece) > self.LONG:  # a pre-token already
+            return self.vocabulary.word_ids(piece)
+        pretokens = self.fine(piece)
         if len(pretokens) == 1:
-            return self._pretoken(pretokens[0])
-        return [i for pretoken in pretokens for i in self._pretoken(pretoken)]
-
-    def _pretoken(self, pretoken: str) -> list[int]:
-        ids = self.known.get(pretoken)
-        if ids is None:
-            ids = self.vocabulary.word_ids(pretoken)
-            if len(pretoken) <= self.LONG:
-                self.known[pretoken] = ids
-        return ids
+            return self.known.of(piece)
+        return [i for pretoken in pretokens for i in self.known.of(pretoken)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         self.memo.trim()
-        if len(self.known) > self.PRETOKENS:
-            self.known.clear()
+        self.known.trim()
         pieces, per_text = [], []
         for text in texts:
             own = self.coarse(text) if text else []

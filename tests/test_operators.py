@@ -70,8 +70,9 @@ def brute_match(cand, cur):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_case_matching_equals_greedy(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 8), (2, 1), (3, 0)])
+def test_case_matching_equals_greedy(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(I, "FEW", few)
     rng = random.Random(seed)
 
     def side(tag):
@@ -94,6 +95,29 @@ def test_case_matching_equals_greedy(spark, seed):
     assert got == brute_match(cand, cur)
 
 
+def test_cases_around_a_common_fact_list_no_pairs(spark, monkeypatch):
+    """20,000 cases of one anchor of which all but one share a fact: nearest rows pair, and no table of pairs outgrows the result."""
+    n = 10_000
+    both = [
+        spark.range(n).select(
+            F.concat(F.lit(s), F.lpad(F.col("id").cast("string"), 6, "0")).alias("case_key"), F.lit("a").alias("case_anchor"), (F.col("id") * 3 + shift).alias("row"),
+            F.when(F.col("id") == 77, F.array(F.lit(f"alone {s}"))).otherwise(F.array(F.lit("common"), F.concat(F.lit(s), F.col("id").cast("string")))).alias("fact_hashes"),
+        )
+        for s, shift in (("c", 0), ("k", 1))
+    ]
+    sizes, written = [], I.materialise
+
+    def counted(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(I, "materialise", counted)
+    got = {(r.cand_key[1:], r.cur_key[1:]) for r in I.match_cases(*both).collect()}
+    assert got == {(f"{i:06d}", f"{i:06d}") for i in range(n) if i != 77}
+    assert max(sizes) <= 2 * n
+
+
 @pytest.mark.parametrize(("seed", "heads", "tails", "n"), [(1, 3, 9, 14), (2, 3, 9, 14), (3, 20, 6, 40), (4, 1, 60, 40), (5, 40, 1, 40)])
 def test_changed_pairs_equal_serial_pick(spark, seed, heads, tails, n):
     rng = random.Random(seed)

@@ -232,14 +232,48 @@ def test_longer_walks_equal_breadth_first(spark):
 
 
 # ---------------------------------------------------------------- retrieval
-def test_retrieval_in_passes_equals_one_pass(spark):
+def brute_knn(queries, ents, k):
+    out = set()
+    for q, v in queries:
+        for label in {x[1] for x in ents}:
+            scored = sorted((-sum(a * b for a, b in zip(v, e)), name) for name, own, e in ents if own == label and len(e) == len(v))
+            out |= {(q, label, name, i) for i, (_, name) in enumerate(scored[:k], 1)}
+    return out
+
+
+def test_nearest_in_cells_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
-    vectors = [(i, f"e{i:03d}", "AB"[i % 2], [rng.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
-    ents = spark.createDataFrame(vectors, "id int, name string, label string, embedding array<float>")
-    queries = ents.select(F.col("id").alias("query_id"), "embedding")
-    one = {tuple(r) for r in VEC.knn(queries, ents, 3).select("query_id", "label", "name", "rank").collect()}
-    many = {tuple(r) for r in VEC.knn(queries, ents, 3, max_queries=16).select("query_id", "label", "name", "rank").collect()}
-    assert one == many and len(one) == 60 * 2 * 3
+    ents = [(f"e{i:03d}", "AB"[i % 2] if i % 7 else None, [float(rng.randint(-4, 4)) for _ in range(6)]) for i in range(200)]
+    frame = spark.createDataFrame(ents, "name string, label string, embedding array<float>")
+    asked = [(i, [float(rng.randint(-4, 4)) for _ in range(6)]) for i in range(40)]
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    for pivots, block in ((8, 10), (64, 8192)):
+        monkeypatch.setattr(VEC, "PIVOTS", pivots)
+        monkeypatch.setattr(VEC, "BLOCK", block)
+        got = {tuple(r) for r in VEC.knn(queries, frame, 3).select("query_id", "label", "name", "rank").collect()}
+        assert got == brute_knn(asked, ents, 3)
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    ents = [("a", "X", [1.0, 0.0]), ("n", "X", [nan, 1.0]), ("i", "X", [inf, 1.0]), ("z", "X", [None, 1.0]), ("e", "X", []), ("l", "X", [1.0, 2.0, 3.0]), ("0", "X", None)]
+    frame = spark.createDataFrame(ents, "name string, label string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 1.0, 1.0]), (3, [nan, 1.0]), (4, None), (5, [1.0])], "query_id int, embedding array<double>")
+    got = {(r.query_id, r.name, r.rank) for r in VEC.knn(queries, frame, 2).collect()}
+    assert got == {(1, "a", 1), (2, "l", 1)}
+    assert VEC.knn(queries, frame.where("false"), 2).count() == 0
+
+
+def test_cells_far_away_stay_closed(spark):
+    rng = random.Random(5)
+    centers = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    rows = [(f"e{i:04d}", True, "", 8, [x + rng.gauss(0, 0.02) for x in centers[i % 30]]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "_id string, _none boolean, _key string, _length int, _v array<double>")
+    keys = ["_none", "_key", "_length"]
+    _, found = VEC.cells(frame, keys)
+    asked = frame.where(F.col("_id") < "e0100").select(*keys, F.col("_id").alias("_query"), "_v")
+    met = VEC.meetings(asked, found, keys, 3).join(found.select("_cell", "_rows"), "_cell").agg(F.sum("_rows")).first()[0]
+    assert met < 0.5 * 100 * 3000
 
 
 def test_lexical_best_hit_is_100_and_threshold_is_strict(spark):

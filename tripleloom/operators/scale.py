@@ -118,24 +118,3 @@ def carry_last(
             for c in df.columns
         ]
     )
-
-
-def in_passes(queries: DataFrame, max_rows: int, run) -> DataFrame:
-    """Union of ``run(rows)`` over the query table, at most ``max_rows`` query rows at a time.
-
-    The rows of one pass are a bounded set and travel with the task code; a larger
-    table is split by hash into as many passes as it takes.
-    """
-    head = queries.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        return run(head)
-    pinned = materialise(queries)
-    passes = -(-pinned.count() // max(1, max_rows // 2))
-    out = None
-    for i in range(passes):
-        bucket = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in queries.columns]), F.lit(passes)) == i
-        rows = pinned.where(bucket).collect()
-        if rows:
-            part = run(rows)
-            out = part if out is None else out.unionByName(part)
-    return out

@@ -77,10 +77,67 @@ def test_language_kernel_equals_sets():
         return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
 
     codes = np.unique(language_id.grams(b))
-    model = language_id.Model(["x"], codes, np.ones((len(codes), 1), np.float32), np.zeros((1, 1)))
+    model = language_id.Model(["x"], codes, np.ones((len(codes), 1), np.float32), np.array([len(codes)], np.float32), np.zeros((1, 1)))
     shared = features(a) & features(b)
     assert len(codes) == len(features(b))
-    assert model.kernel(model.presence([language_id.grams(a)], model.slots()))[0, 0] == pytest.approx(len(shared) / (len(shared) * len(features(b))) ** 0.5, rel=1e-5)
+    found = model.kernel(*model.presence([np.unique(language_id.grams(a))], model.slots()))
+    assert found[0, 0] == pytest.approx(len(shared) / (len(features(a)) * len(features(b))) ** 0.5, rel=1e-5)
+
+
+def test_fit_equals_kernel_ridge_regression_from_its_definition(docs):
+    """The same landmarks and rows, kernels from sets, weights from the normal equations."""
+    model = language_id.train(docs.where("doc_id < 60"))
+    texts = sorted((str(r.doc_id), r.lang, r.text) for r in docs.where("doc_id < 60").collect())
+    by_lang = {}
+    for _, lang, text in texts:
+        by_lang.setdefault(lang, []).append(set(language_id.grams(text).tolist()))
+    langs = sorted(by_lang)
+    turns = sorted((i, lang) for lang in langs for i in range(len(by_lang[lang])))
+    marks = [by_lang[lang][i] for i, lang in turns[:96]]
+    sets = [(lang, g) for lang in langs for g in by_lang[lang]]
+    known = set().union(*marks)
+
+    def kernel(rows):
+        return np.array([[len(r & m) / (len(r) * len(m)) ** 0.5 for m in marks] for r in rows])
+
+    values, vectors = np.linalg.eigh(kernel(marks))
+    root = vectors / np.sqrt(np.maximum(values, 1e-8))
+    features = kernel([g for _, g in sets]) @ root
+    truth = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in sets])
+    weights = root @ np.linalg.solve(features.T @ features + 1e-2 * len(sets) / len(marks) * np.eye(len(marks)), features.T @ truth)
+    asked = ["the cat sat in the house", "der hund und die katze", "quelque chose d'autre"]
+    want = kernel([set(language_id.grams(t).tolist()) for t in asked]) @ weights
+    got = model.scores(*model.presence([np.unique(language_id.grams(t)) for t in asked], model.slots()))
+    assert model.langs == langs and set(model.codes.tolist()) == known
+    assert np.abs(got - want).max() < 2e-3
+
+
+def test_numerals_are_no_letters(spark, docs):
+    model = language_id.train(docs)
+    asked = spark.createDataFrame([(1, "½ ² ³ ①"), (2, "Ⅷ 12"), (3, "ª")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.predict(asked, model).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_foreign_random_and_encoded_texts_are_rejected(spark):
+    import base64
+    import random
+
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(8).collect()]
+    foreign = [
+        "Это обычный русский текст о погоде и о том как люди живут в большом городе зимой и летом.",
+        "Αυτό είναι ένα απλό ελληνικό κείμενο για τον καιρό και για τη ζωή στην πόλη.",
+        "这是一个关于天气和城市生活的普通中文文本。人们在冬天和夏天的生活。",
+        "Tämä on tavallinen suomenkielinen teksti säästä ja siitä miten ihmiset elävät suuressa kaupungissa talvella ja kesällä.",
+        "To jest zwykły polski tekst o pogodzie i o tym, jak ludzie żyją w dużym mieście zimą i latem.",
+        rng.randbytes(300).hex(), base64.b64encode(rng.randbytes(300)).decode(), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)),
+    ]
+    rows = [(10_000 + i, t) for i, t in enumerate(foreign)] + [(20_000 + i, f"{a}\n{b}") for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+    added = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in language_id.identified(docs.unionByName(added, allowMissingColumns=True)).collect()}
+    assert not {i for i in kept if 10_000 <= i < 20_000}
+    assert len({i for i in kept if i >= 20_000}) == 7 and len({i for i in kept if i < 10_000}) == docs.count()
 
 
 def test_nothing_to_learn(docs, empty):
@@ -138,3 +195,14 @@ def test_views_teach_each_other():
     model = quality_classifier.co_train([v[few] for v in views], y[few], [v[rest] for v in views], sure=0.9)
     score = model.scores([v[700:] for v in views])[2]
     assert ((score > 0.5) == (y[700:] == 1)).mean() > 0.95
+
+
+def test_prose_of_a_language_without_reference_is_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    italian = "Questo è un normale testo italiano sul tempo, su come le persone vivono in una grande città e su quello che fanno la sera. "
+    polish = "To jest zwykły polski tekst o pogodzie, o tym, jak ludzie żyją w dużym mieście, i co robią wieczorem po długim dniu pracy. "
+    more = ["Poi tornano a casa, cenano con gli amici e parlano di quello che è successo.", "Potem wracają do domu, jedzą kolację i rozmawiają o tym, co się stało."]
+    rows = [(10_001, italian + more[0] + " Il giorno dopo si alzano presto e prendono il treno per andare al lavoro, come sempre, anche quando piove forte.", "it")]
+    rows += [(10_002, polish + more[1] + " Następnego dnia wstają wcześnie i jadą pociągiem do pracy, jak zawsze, nawet kiedy mocno pada deszcz i wieje wiatr.", "pl")]
+    found = quality_rules.quality_rules(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"), allowMissingColumns=True))
+    assert {r.doc_id: r.kept for r in found.where("doc_id > 10000").collect()} == {10_001: True, 10_002: True}

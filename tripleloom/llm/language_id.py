@@ -15,12 +15,12 @@ scores the language first in alphabetical order wins. Other columns of the input
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,11 +28,13 @@ from pyspark.sql.window import Window
 from .common import filter_rows, fresh, hash_share, is_fold, map_texts
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters count as a blank.
 BLANKED = bytes(i if i >= 128 or bytes([i]).isalpha() else 32 for i in range(256))
 N3, N2 = 1 << 24, 1 << 16
 CODES = N3 + N2 + 256
+#: A text whose share of known grams is below this part of the median of labelled texts is in none of their languages.
+FAMILIAR = 0.85
 
 
 def grams(text: str) -> np.ndarray:
@@ -44,12 +46,17 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Grams of the landmarks, 0/1 matrix grams x landmarks, and dual weights landmarks x languages."""
+    """Grams of the landmarks, 0/1 matrix grams x landmarks, set sizes of the landmarks, and dual weights landmarks x languages.
+
+    `familiar` is the share of its grams that a text of the languages has among these grams at least.
+    """
 
     langs: list[str]
     codes: np.ndarray
     landmarks: np.ndarray
+    sizes: np.ndarray
     weights: np.ndarray
+    familiar: float = 0.0
 
     def slots(self) -> np.ndarray:
         """Column of each gram code; 0 for grams of no landmark."""
@@ -57,18 +64,18 @@ class Model:
         table[self.codes] = np.arange(1, len(self.codes) + 1)
         return table
 
-    def presence(self, gram_sets: list[np.ndarray], slots: np.ndarray) -> np.ndarray:
+    def presence(self, gram_sets: list[np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """0/1 rows over the landmarks' grams, and the size of each whole set. The sets hold each gram once."""
         out = np.zeros((len(gram_sets), len(self.codes) + 1), np.float32)
         for i, codes in enumerate(gram_sets):
             out[i, slots[codes]] = 1
-        return out[:, 1:]
+        return out[:, 1:], np.array([max(1, len(g)) for g in gram_sets], np.float32)
 
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        own = np.maximum(presence.sum(axis=1), 1)[:, None]
-        return (presence @ self.landmarks) / np.sqrt(own * self.landmarks.sum(axis=0)[None, :])
+    def kernel(self, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (presence @ self.landmarks) / np.sqrt(sizes[:, None] * self.sizes[None, :])
 
-    def scores(self, presence: np.ndarray) -> np.ndarray:
-        return self.kernel(presence) @ self.weights
+    def scores(self, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.kernel(presence, sizes) @ self.weights
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
@@ -99,33 +106,40 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     turns = [(i, name) for name in langs for i in range(len(by_lang[name]))]
     chosen = [by_lang[name][i] for i, name in sorted(turns)[:landmarks]]
     codes = np.unique(np.concatenate(chosen))
-    model = Model(langs, codes, np.zeros((len(codes), len(chosen)), np.float32), np.zeros((len(chosen), len(langs))))
+    model = Model(langs, codes, np.zeros((len(codes), len(chosen)), np.float32), np.zeros(len(chosen), np.float32), np.zeros((len(chosen), len(langs))))
     slots = model.slots()
-    model.landmarks = np.ascontiguousarray(model.presence(chosen, slots).T)
-    values, vectors = np.linalg.eigh(model.kernel(model.landmarks.T).astype(float))
+    present, model.sizes = model.presence(chosen, slots)
+    model.landmarks = np.ascontiguousarray(present.T)
+    values, vectors = np.linalg.eigh(model.kernel(present, model.sizes).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-8))  # Nyström: K_mm^(-1/2)
     everything = [(k, g) for k, name in enumerate(langs) for g in by_lang[name]]
     gram_matrix, target = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(langs)))
+    shares = []
     for start in range(0, len(everything), 256):
         part = everything[start : start + 256]
-        features = model.kernel(model.presence([g for _, g in part], slots)) @ root
+        present, sizes = model.presence([g for _, g in part], slots)
+        shares += (present.sum(axis=1) / sizes).tolist()
+        features = model.kernel(present, sizes) @ root
         truth = np.where(np.array([k for k, _ in part])[:, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
         gram_matrix += features.T @ features
         target += features.T @ truth
     model.weights = root @ np.linalg.solve(gram_matrix + ridge * len(everything) / len(chosen) * np.eye(len(gram_matrix)), target)
+    model.familiar = FAMILIAR * float(np.median(shares))
     return model
 
 
-def _predicted(model: Model | None, slots: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text, by batched matrix products."""
-    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def _predicted(model: Model | None, slots: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and share of known grams of each text, by batched matrix products."""
+    names, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     rows = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
     for start in range(0, len(rows), 128):
         part = rows[start : start + 128]
-        found = model.scores(model.presence([grams(texts[i]) for i in part], slots))
+        present, sizes = model.presence([np.unique(grams(texts[i])) for i in part], slots)
+        found = model.scores(present, sizes)
+        known[part] = present.sum(axis=1) / sizes
         for i, b, s in zip(part, found.argmax(axis=1), found.max(axis=1)):
             names[i], scores[i] = model.langs[b], min(1.0, max(0.0, (1 + s) / 2))
-    return names, scores
+    return names, scores, known
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         own = shared.value
         slots = own.slots() if own else None
         for batch in batches:
-            names, scores = _predicted(own, slots, batch.column("text").to_pylist())
+            names, scores, _ = _predicted(own, slots, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return map_texts(inputs, "text", work, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -151,7 +165,10 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def identified(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows with a predicted language and a score of at least `least`, all columns as they were; learns from all labelled rows of `docs`."""
+    """Rows in one of the learned languages, all columns as they were; learns from all labelled rows of `docs`.
+
+    Rows without a language, with a score below `least`, or with too small a share of known grams for any of the languages go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
 
     def keep():
@@ -159,7 +176,8 @@ def identified(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text
         slots = model.slots() if model else None
 
         def decide(batch: pa.RecordBatch) -> list[bool]:
-            return [name != UNKNOWN and score >= least for name, score in zip(*_predicted(model, slots, batch.column(text).to_pylist()))]
+            found = zip(*_predicted(model, slots, batch.column(text).to_pylist()))
+            return [name != UNKNOWN and score >= least and known >= model.familiar for name, score, known in found]
 
         return decide
 

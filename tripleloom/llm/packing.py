@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, row_number_salted
+from .common import fresh, map_texts, materialise, row_number_salted
 from .memo import Memo
 
 CAPACITY = 2048
@@ -171,15 +171,16 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `capacity` rows
     runs = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(runs)  # as large as the histogram makes it, however many documents
-    ranked = row_number_salted(pieces, length, order or ["doc_id", "piece"], "rank_in_length")
+    place = fresh("rank")
+    ranked = row_number_salted(pieces, length, order or ["doc_id", "piece"], place)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
         keys = (runs[:, 0] << 48) | runs[:, 1]
         for batch in batches:
-            rank = batch.column("rank_in_length").to_numpy()
+            rank = batch.column(place).to_numpy()
             run = runs[np.searchsorted(keys, (batch.column(length).to_numpy() << 48) | rank, side="right") - 1]
-            kept = [n for n in batch.schema.names if n != "rank_in_length"]
+            kept = [n for n in batch.schema.names if n != place]
             columns = [batch.column(n) for n in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], [*kept, "sequence_id", "offset"])
 

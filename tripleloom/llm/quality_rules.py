@@ -2,9 +2,10 @@
 
 Two histograms describe a text: classes of characters, and common words of the language with everything else in one
 bin. The reference of a language is the mean histogram of all its documents of some length. A document is compared with
-every reference and judged by the nearest, so a wrong language label rejects nothing.
+every reference and judged by the nearest, so a wrong language label rejects nothing. A document labelled with a language that has
+no reference is not judged by divergence, as prose of a language nobody described is unlike all others.
 
-Defined results: a null or empty text has no words and fails the counted rules; a null or unknown language takes part
+Defined results: a null or empty text has no words and fails the counted rules; a null or undescribed language takes part
 in no reference; with no reference at all (empty table, only short texts) nothing is rejected by divergence; repeated
 rows and ties are judged alike, each by its own text; other columns of the input are not looked at.
 """
@@ -171,6 +172,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hists, chars = [], [], []
+            strange = np.array([name is not None and name not in refs for name in batch.column("lang").to_pylist()], bool)
             for value in batch.column("text").to_pylist():
                 raw = (value or "").encode()
                 words = raw.split()
@@ -181,10 +183,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             table = np.array(counts)
             failed = (table[:, 0] < MIN_WORDS) | (100 * table[:, 4] > REPEAT_PERCENT * table[:, 0])
             far_chars, far_words = nearest(hists, np.array(chars), table[:, 0], refs)
-            kept = ~failed & ~(far_chars > MAX_CHAR_DISTANCE) & ~(far_words > MAX_WORD_DISTANCE)
+            kept = ~failed & (strange | ~((far_chars > MAX_CHAR_DISTANCE) | (far_words > MAX_WORD_DISTANCE)))
             columns = [*map(pa.array, table.T), pa.array(failed), pa.array(kept), pa.array(far_chars, from_pandas=True), pa.array(far_words, from_pandas=True)]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
-    inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     return map_texts(inputs, "text", work, SCHEMA.format(id=inputs.schema["doc_id"].dataType.simpleString()))

@@ -351,3 +351,22 @@ def test_registry_and_reviews(spark):
     )
     got = {r.source_id: r.state for r in R.apply_registry_events(registry, events).collect()}
     assert got == {"a": "trash", "d": "active"}
+
+
+# ---------------------------------------------------------------- derived cases
+def test_subsets_of_many_items(spark):
+    from itertools import combinations
+
+    from tripleloom.operators import cases as C
+
+    def text(n):
+        return "\n".join(f"{i + 1}. item{i}" for i in range(n))
+
+    df = spark.createDataFrame([("a", "n", "t", ["p"], text(70), text(70)), ("b", "n", "t", ["p"], text(14), text(14))], "case_id string, case_name string, test_type string, preconditions array<string>, action_text string, expected_text string")
+    pairs = C.combination_cases(df, size=2).groupBy("case_id").count().collect()
+    assert {r.case_id: r["count"] for r in pairs} == {"a": 70 * 69 // 2, "b": 14 * 13 // 2}
+    names = {r.combo_name for r in C.combination_cases(df.where("case_id = 'a'"), size=69).collect()}
+    assert len(names) == 70
+    every = [r.combo_name for r in C.combination_cases(df.where("case_id = 'b'")).collect()]
+    want = {f"n-combo{k}items(items {'+'.join(str(i + 1) for i in c)})" for k in range(1, 14) for c in combinations(range(14), k)}
+    assert len(every) == len(want) and set(every) == want

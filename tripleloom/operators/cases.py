@@ -214,7 +214,8 @@ def batch_groups(cases: DataFrame, action: str = "action_text", expected: str =
 
 
 # ---------------------------------------------------------------- derived cases
-LOW_BITS = 12
+#: Items whose subsets are opened in one step: no array exceeds 2^12.
+STEP = 12
 
 
 def _numbered_text(items: Column) -> Column:
@@ -222,13 +223,30 @@ def _numbered_text(items: Column) -> Column:
     return F.when(F.size(items) == 1, F.get(items, 0)).otherwise(F.array_join(lines, "\n"))
 
 
-def combination_cases(
-    cases: DataFrame, action: str = "action_text", expected: str = "expected_text", prefixes_only: bool = False
-) -> DataFrame:
-    """Derived cases of the proper non-empty subsets (or prefixes) of a case's numbered items.
+def _subsets(sized: DataFrame, size: int | None) -> DataFrame:
+    """Proper non-empty subsets of the places 0 to n - 1 in ``_at``, or those of one size, ``STEP`` places at a time.
 
-    A subset is a bit mask, exploded in two steps so that no array grows beyond 2^12.
+    With a size, a step opens only what the places behind it can still complete, so no row is made in vain and n has no limit.
     """
+    if size is not None:
+        sized = sized.where(F.col("n") > size)
+    most = sized.agg(F.max("n")).first()[0] or 0
+    rows = sized.withColumn("_at", F.array().cast("array<int>"))
+    for first in range(0, most, STEP):
+        width = f"greatest(least(n - {first}, {STEP}), 0)"
+        masks = F.expr(f"sequence(0, shiftleft(1, {width}) - 1)")
+        if size is not None:
+            left, later = F.lit(size) - F.size("_at"), F.greatest(F.col("n") - (first + STEP), F.lit(0))
+            masks = F.filter(masks, lambda m: (F.bit_count(m) <= left) & (F.bit_count(m) >= left - later))
+        here = F.expr(f"filter(sequence({first}, {first + STEP - 1}), i -> (shiftright(_mask, i - {first}) & 1) = 1)")
+        rows = rows.withColumn("_mask", F.explode(masks)).withColumn("_at", F.concat("_at", here)).drop("_mask")
+    return rows.where((F.size("_at") > 0) & (F.size("_at") < F.col("n")))
+
+
+def combination_cases(
+    cases: DataFrame, action: str = "action_text", expected: str = "expected_text", prefixes_only: bool = False, size: int | None = None
+) -> DataFrame:
+    """Derived cases of the proper non-empty subsets (those of ``size`` items, or the prefixes) of a case's numbered items."""
     action_items = T.numbered_segments(action)
     parsed = cases.select(
         "case_id", "case_name", "test_type", "preconditions",
@@ -237,19 +255,10 @@ def combination_cases(
     ).where(F.size("_e") > 1)
     sized = parsed.withColumn("n", F.least(F.size("_a"), F.size("_e"))).where(F.col("n") > 1)
     if prefixes_only:
-        masks = sized.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn(
-            "_mask", F.expr("shiftleft(1L, _k) - 1")
-        )
+        chosen = sized.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn("_at", F.expr("sequence(0, _k - 1)")).drop("_k")
     else:
-        masks = (
-            sized.withColumn("_high", F.explode(F.expr(f"sequence(0L, shiftleft(1L, greatest(n - {LOW_BITS}, 0)) - 1)")))
-            .withColumn("_low", F.explode(F.expr(f"sequence(0L, shiftleft(1L, least(n, {LOW_BITS})) - 1)")))
-            .withColumn("_mask", F.expr(f"shiftleft(_high, {LOW_BITS}) + _low"))
-            .where((F.col("_mask") > 0) & (F.col("_mask") < F.expr("shiftleft(1L, n) - 1")))
-        )
-    chosen = masks.withColumn(
-        "_at", F.expr("filter(sequence(0, n - 1), i -> (shiftright(_mask, i) & 1L) = 1L)")
-    ).withColumns(
+        chosen = _subsets(sized, size)
+    chosen = chosen.withColumns(
         {
             "_actions": F.transform("_at", lambda i: F.get("_a", i)),
             "_expected": F.transform("_at", lambda i: F.get("_e", i)),

@@ -429,6 +429,25 @@ def extract_json(spark, d):
     return out.select("event_id", F.col("j").isNotNull().alias("parsed"), F.col("j.k").alias("k"))
 
 
+_ANSWER_PARTS = """
+parts AS (SELECT event_id, event_type = 'error' AS opened, event_id % 5 = 0 AS noted, event_id % 3 = 0 AS twice, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+@query(
+    "json_answers",
+    f"""WITH {_ANSWER_PARTS} SELECT event_id, CAST(noted AS INTEGER) + 1 + CAST(twice AS INTEGER) AS candidates, props AS json, k,
+          CASE WHEN noted THEN '{{as asked}}' ELSE '' END AS rejected FROM parts""",
+)
+def json_answers(spark, d):
+    """Answers in prose: an open bracket before, a bracket that is no JSON, a second value behind."""
+    props = F.col("props")
+    told = F.concat(F.when(F.col("event_id") % 5 == 0, F.lit('As "you {as asked} said": ')).otherwise(F.lit("see ")), props, F.lit(" fits"))
+    answer = F.when(F.col("event_type") == "error", F.concat(F.lit("no { "), told)).otherwise(told)
+    answer = F.when(F.col("event_id") % 3 == 0, F.concat(answer, F.lit(" and "), props)).otherwise(answer)
+    out = B.table(spark, d, "events").select("event_id", F.size(T.json_candidates(answer)).alias("candidates"), T.json_answer(answer, "k bigint").alias("j"))
+    return out.select("event_id", "candidates", F.col("j.json").alias("json"), F.col("j.value.k").alias("k"), F.array_join("j.rejected", "|").alias("rejected"))
+
+
 @query(
     "case_id_key",
     """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CAST(1000000000000 AS BIGINT) ELSE o_orderkey END AS number,

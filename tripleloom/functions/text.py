@@ -441,9 +441,20 @@ def json_answer(c: Column | str, schema: str) -> Column:
     text = strip_code_fence(F.coalesce(_c(c), F.lit("")))
     whole = F.array(F.struct(F.lit(1).alias("start"), text.alias("text")))
     tried = F.when(is_whole_json(text), whole).otherwise(json_candidates(c))
-    good = F.transform(tried, lambda t: is_whole_json(t["text"]) & F.from_json(t["text"], schema).isNotNull())
-    at = F.array_position(good, True).cast("int")
-    first = F.get(tried, at - 1)["text"]
-    texts = F.transform(tried, lambda t: t["text"])
-    failed = F.when(at > 0, F.slice(texts, F.lit(1), at - 1)).when(F.size(texts) > 0, texts).otherwise(F.array(text))
-    return F.struct(F.when(at > 0, first).alias("json"), F.when(at > 0, F.from_json(first, schema)).alias("value"), failed.alias("rejected"))
+
+    def once(value: Column, use) -> Column:
+        """use(value) with the value computed one time, however often it occurs."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def judged(found: Column) -> Column:
+        texts = F.transform(found, lambda t: t["text"])
+        good = F.transform(texts, lambda t: is_whole_json(t) & F.from_json(t, schema).isNotNull())
+
+        def chosen(at: Column) -> Column:
+            first = F.get(texts, at - 1)
+            failed = F.when(at > 0, F.slice(texts, F.lit(1), at - 1)).when(F.size(texts) > 0, texts).otherwise(F.array(text))
+            return F.struct(F.when(at > 0, first).alias("json"), F.when(at > 0, F.from_json(first, schema)).alias("value"), failed.alias("rejected"))
+
+        return once(F.array_position(good, True).cast("int"), chosen)
+
+    return once(tried, judged)

@@ -377,7 +377,7 @@ def registry_events(spark, d):
 @query(
     "submit_import",
     """WITH reg AS (SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'available' ELSE 'pending_review' END AS status, s_name, s_nationkey FROM supplier),
-         req AS (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(*) % 2 = 0)
+         req AS (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING avg(l_quantity) > 25.5)
        SELECT 'S' || s_suppkey AS source_id, s_name AS name, status, CAST(s_nationkey AS BIGINT) AS case_count, NULL AS from_source_id FROM reg
        WHERE status = 'available' OR s_suppkey NOT IN (SELECT l_suppkey FROM req)
        UNION ALL SELECT CASE WHEN status = 'available' THEN 'build-' || s_suppkey ELSE 'S' || s_suppkey END, s_name, 'pending_review', s_nationkey,
@@ -389,7 +389,7 @@ def submit_import(spark, d):
         F.when(F.col("s_acctbal") > 5000, "available").otherwise("pending_review").alias("status"), F.col("s_nationkey").cast("long").alias("case_count"),
         (F.col("s_nationkey") * 3).cast("long").alias("triple_count"), F.lit(None).cast("string").alias("from_source_id"),
     )
-    asked = B.table(spark, d, "lineitem").groupBy("l_suppkey").count().where("count % 2 = 0")
+    asked = B.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("size")).where("size > 25.5")
     requests = asked.select(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("source_id"), F.concat(F.lit("build-"), F.col("l_suppkey")).alias("pending_id"), F.lit("").alias("name"),
         F.lit("").alias("domain"), F.lit("excel").alias("kind"), F.lit(0).cast("long").alias("case_count"), F.lit(None).cast("long").alias("triple_count"),

@@ -251,12 +251,12 @@ def skeleton_direct(spark, d):
     f"""WITH {EDGES_SQL}, {WALK_SQL}, p AS (SELECT query_id, least(lo, hi) AS u, greatest(lo, hi) AS v, c, n, r FROM walk WHERE lo <> hi),
           m AS (SELECT query_id, u, v, a.dst AS x, a.relation AS ru, b.relation AS rv FROM p JOIN edges a ON a.src = u JOIN edges b ON b.src = v AND b.dst = a.dst)
         SELECT DISTINCT query_id, u AS head, ru AS relation, x AS tail FROM m UNION SELECT query_id, x, rv, v FROM m
-        UNION SELECT query_id, o, 'PLACED_BY', c FROM ords UNION SELECT query_id, c, 'IN_NATION', n FROM walk UNION SELECT query_id, n, 'IN_REGION', r FROM walk""",
+        UNION SELECT query_id, o, 'PLACED_BY', c FROM ords UNION SELECT query_id, c, 'IN_NATION', n FROM walk UNION SELECT query_id, n, 'IN_REGION', r FROM walk
+        UNION SELECT query_id, n, 'IN_NATION', c FROM walk UNION SELECT query_id, c, 'PLACED_BY', o FROM ords""",
 )
 def skeleton_all_paths(spark, d):
-    """Over all pairs but those starting at a nation, so that ties and all distances occur."""
-    paths = walk_paths(spark, d)
-    return G.skeleton_all(edges(spark, d), paths.where(~F.col("u").startswith("N-")), 3)
+    """Over all pairs, not just those of a tree, so that ties and all distances occur."""
+    return G.skeleton_all(edges(spark, d), walk_paths(spark, d), 3)
 
 
 def labels(spark, d):

@@ -96,8 +96,26 @@ def read_document_triples(spark, d):
         F.array(F.concat(F.lit("s"), F.col("p_size"))).alias("sources"), F.lit(False).alias("conflict"), F.lit("").alias("conflict_note"),
     )
     part.write.partitionBy("doc").json(path)
-    files = spark.read.schema(readers.FUSED_SCHEMA + ", doc string").json(path)
-    return files.select(F.col("doc").alias("doc_name"), "head", "relation", "tail", F.array_join("sources", ",").alias("sources"))
+    # the aggregate of all documents lies directly in the folder
+    part.drop("doc").write.mode("append").json(path)
+    found = readers.read_doc_triples(spark, path, "part-*.json", "doc=")
+    return found.select("doc_name", "head", "relation", "tail", F.array_join("sources", ",").alias("sources"))
+
+
+@query(
+    "image_manifest",
+    """SELECT p_type || '_' || n AS image_id, p_type AS doc_id, 'Pages of ' || p_type AS doc_name FROM (
+         SELECT p_type, CASE WHEN n < 10 THEN '000' ELSE '00' END || n AS n FROM (SELECT DISTINCT p_type FROM part), (SELECT unnest(range(1, 4)) AS n))""",
+)
+def image_manifest(spark, d):
+    """Three pages of each part type, one file each, written into a folder per type; the manifest numbers them by file name."""
+    path = scratch(spark)
+    part = B.table(spark, d, "part").select(F.col("p_type").alias("doc"), F.concat_ws(" ", "p_name", "p_brand").alias("value"))
+    for _ in range(3):  # each run writes one file into each folder
+        part.repartition("doc").write.mode("append").partitionBy("doc").text(path)
+    types = [r[0] for r in part.select("doc").distinct().collect()]  # one folder of a manifest each
+    folders = {t: (f"Pages of {t}", f"{path}/doc={t}") for t in types}
+    return readers.build_manifest(spark, folders, suffixes=["txt"]).select("image_id", "doc_id", "doc_name")
 
 
 @query(
@@ -144,11 +162,11 @@ def stream_diff_apply(spark, d):
     """Two versions of the order facts arriving one after the other; the baseline after both."""
     path, root = scratch(spark), scratch(spark)
     first, second = version(spark, d, "current"), version(spark, d, "candidate")
-    first.coalesce(1).write.mode("append").parquet(path)
+    first.write.mode("append").parquet(path)
     schema = first.schema
     for step in (None, second):
         if step is not None:
-            step.coalesce(1).write.mode("append").parquet(path)
+            step.write.mode("append").parquet(path)
         arriving = spark.readStream.schema(schema).parquet(path)
         flows.stream_diff_apply(arriving, root, f"{root}-progress").awaitTermination()
     return writers.read_version(spark, root).select("row", "case_key", "head", "relation", "tail", "fact_hash", "source_file")

@@ -435,11 +435,11 @@ parts AS (SELECT event_id, event_type = 'error' AS opened, event_id % 5 = 0 AS n
 
 @query(
     "json_answers",
-    f"""WITH {_ANSWER_PARTS} SELECT event_id, CAST(noted AS INTEGER) + 1 + CAST(twice AS INTEGER) AS candidates, props AS json, k,
-          CASE WHEN noted THEN '{{as asked}}' ELSE '' END AS rejected FROM parts""",
+    f"""WITH {_ANSWER_PARTS} SELECT event_id, CAST(noted AND NOT opened AS INTEGER) + 1 + CAST(twice AS INTEGER) AS candidates, props AS json, k,
+          CASE WHEN noted AND NOT opened THEN '{{as asked}}' ELSE '' END AS rejected FROM parts""",
 )
 def json_answers(spark, d):
-    """Answers in prose: an open bracket before, a bracket that is no JSON, a second value behind."""
+    """Answers in prose: an open bracket before (in which quoted brackets do not count), a bracket that is no JSON, a second value behind."""
     props = F.col("props")
     told = F.concat(F.when(F.col("event_id") % 5 == 0, F.lit('As "you {as asked} said": ')).otherwise(F.lit("see ")), props, F.lit(" fits"))
     answer = F.when(F.col("event_type") == "error", F.concat(F.lit("no { "), told)).otherwise(told)

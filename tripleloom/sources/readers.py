@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,33 +94,36 @@ def rejected_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _json_lines(spark, path).where(~F.col("ok")).select("file", "value")
 
 
-def read_doc_triples(spark: SparkSession, root: str) -> DataFrame:
-    """Fused triples of all documents below ``root``; the document is the folder of its file.
+def _plain(c: Column | str) -> Column:
+    """A path without scheme, host and closing slashes."""
+    return F.regexp_replace(c, r"^[a-z0-9]+:(//[^/]*)?|/+\z", "")
+
+
+def read_doc_triples(spark: SparkSession, root: str, files: str = "knowledge_graph.json", folder_prefix: str = "") -> DataFrame:
+    """Fused triples of all documents below ``root``; the document is the folder of its file, less ``folder_prefix``.
 
     A file directly in ``root`` is the aggregate of the others and is left out.
     """
-    files = spark.read.schema(FUSED_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "knowledge_graph.json"
-    ).json(root)
+    read = spark.read.schema(FUSED_SCHEMA).option("multiLine", files == "knowledge_graph.json").option("recursiveFileLookup", True).option("pathGlobFilter", files)
     path = F.col("_metadata.file_path")
-    clean_root = root.rstrip("/").split("/")[-1]
-    doc = F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1)
-    rows = files.select("*", doc.alias("doc_name"), path.alias("_path")).where(
-        ~F.col("_path").endswith(f"/{clean_root}/knowledge_graph.json")
-    )
+    folder = F.regexp_extract(path, r"^(.*)/[^/]+\z", 1)
+    name = F.substring_index(folder, "/", -1)
+    doc = F.when(name.startswith(folder_prefix), F.substring(name, F.lit(len(folder_prefix) + 1), F.char_length(name))).otherwise(name)
+    rows = read.json(root).select("*", doc.alias("doc_name"), _plain(folder).alias("_folder")).where(F.col("_folder") != _plain(F.lit(root)))
     text = F.concat(F.coalesce("head", F.lit("")), F.coalesce("relation", F.lit("")), F.coalesce("tail", F.lit("")))
-    return rows.where(text != "").drop("_path")
+    return rows.where(text != "").drop("_folder")
 
 
-def build_manifest(spark: SparkSession, folders: dict[str, tuple[str, str]], limit_per_doc: int = 0) -> DataFrame:
+def build_manifest(
+    spark: SparkSession, folders: dict[str, tuple[str, str]], limit_per_doc: int = 0, suffixes: Sequence[str] = IMAGE_SUFFIXES
+) -> DataFrame:
     """Images of the document folders {doc_id: (doc_name, folder)} with ids such as ``doc_0001`` in file-name order."""
-    plain = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:(//[^/]*)?|/+\z", "")  # noqa: E731  without scheme and host
     documents = spark.createDataFrame([(doc_id, name, folder) for doc_id, (name, folder) in folders.items()], "doc_id string, doc_name string, source_dir string")
     listed = spark.read.format("binaryFile").load([folder for _, folder in folders.values()]).select(F.col("path").alias("image_path"))
-    within = plain(F.regexp_extract("image_path", r"^(.*)/[^/]+\z", 1))
-    out = listed.withColumn("_dir", within).join(documents.withColumn("_dir", plain("source_dir")), "_dir").select("doc_id", "doc_name", "source_dir", "image_path")
+    within = _plain(F.regexp_extract("image_path", r"^(.*)/[^/]+\z", 1))
+    out = listed.withColumn("_dir", within).join(documents.withColumn("_dir", _plain("source_dir")), "_dir").select("doc_id", "doc_name", "source_dir", "image_path")
     named = out.withColumn("file_name", _file_name(F.col("image_path")))
-    images = named.where(F.lower(F.substring_index("file_name", ".", -1)).isin(IMAGE_SUFFIXES))
+    images = named.where(F.lower(F.substring_index("file_name", ".", -1)).isin(list(suffixes)))
     ranked = numbered(images, ["doc_id"], [F.col("file_name")], "_n")
     if limit_per_doc > 0:
         ranked = ranked.where(F.col("_n") <= limit_per_doc)

@@ -32,15 +32,17 @@ def test_carry_in_blocks_equals_window(spark):
     assert small == blocks
 
 
-def test_contains_join_both_ways(spark):
+def test_contains_join_of_any_needles(spark):
     rng = random.Random(1)
-    texts = [(i, "".join(rng.choice("abc ") for _ in range(40))) for i in range(60)]
-    needles = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(1, 5)))) for i in range(80)]
-    want = {(t, n) for t, text in texts for n, word in needles if word in text}
-    a, b = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(needles, "n int, word string")
-    for inline in (1000, 5):
-        got = {tuple(r) for r in contains_join(a, b, "text", "word", ["t"], ["n"], max_inline=inline).collect()}
-        assert got == want
+    texts = [(i, i % 3, "".join(rng.choice("abc ") for _ in range(40))) for i in range(60)] + [(99, 0, ""), (98, 1, None)]
+    for n in (0, 1, 80, 900):
+        needles = [(i, i % 4, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 6)))) for i in range(n)]
+        a = spark.createDataFrame(texts, "t int, d int, text string")
+        b = spark.createDataFrame(needles, "n int, d int, word string")
+        want = {(t, k) for t, _, text in texts for k, _, word in needles if word and text and word in text}
+        assert sorted(tuple(r) for r in contains_join(a.drop("d"), b, "text", "word", ["t"], ["n"]).collect()) == sorted(want)
+        same = {(d, t, k) for t, d, text in texts for k, e, word in needles if d == e and word and text and word in text}
+        assert sorted(tuple(r) for r in contains_join(a, b, "text", "word", ["t"], ["n"], within=["d"]).collect()) == sorted(same)
 
 
 # ---------------------------------------------------------------- versions

@@ -361,7 +361,8 @@ def match_signals(units: DataFrame, sigs: DataFrame, k: int = 12) -> DataFrame:
     )
     by_word = named.select("document_id", "signal_id", "name", "encoding", "communication", "section_id", "table_no", "row_index", F.explode(F.array_distinct(words)).alias("_word"))
     texts = units.select("document_id", "unit_id", unit_text().alias("_text"))
-    hits = contains_join(texts, by_word.select("_word").distinct(), "_text", "_word", ["document_id", "unit_id"], ["_word"])
+    asked = by_word.select("document_id", "_word", F.col("_word").alias("_needle")).distinct()
+    hits = contains_join(texts, asked, "_text", "_needle", ["unit_id"], ["_word"], within=["document_id"])
     order = ["section_id", "table_no", "row_index", "signal_id"]
     found = hits.join(by_word, ["document_id", "_word"]).drop("_word").distinct()
     return top_k_per_key(found, ["document_id", "unit_id"], [F.col(c) for c in order], k)

@@ -81,9 +81,6 @@ def refine_component(
     return F.when(known, comp).otherwise(F.coalesce(first_rule([_upper(summary)], rules), F.lit(V.UNCATEGORIZED)))
 
 
-MAX_NEEDLES_INLINE = 200
-
-
 def contains_join(
     texts: DataFrame,
     needles: DataFrame,
@@ -91,53 +88,30 @@ def contains_join(
     needle: str,
     text_id: Sequence[str],
     needle_id: Sequence[str],
-    max_inline: int = MAX_NEEDLES_INLINE,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """All (text id, needle id) pairs where the text contains the needle.
-
-    Up to ``max_inline`` needles (checked) travel with the plan as one array and
-    each text is tested in place, without any shuffle of the texts.  More needles
-    are looked up by the trigram they share with the fewest other needles (the
-    whole needle when shorter): a text is exploded into its distinct n-grams of
-    those lengths, joined on them, and verified with ``contains``.  Both ways are
-    exact.
+    """All (within, text id, needle id) where the text contains the needle, one plan for any number of needles.
+
+    A needle is filed under the trigram that it shares with the fewest other needles (under itself if it is shorter).  A text is
+    looked up under its distinct n-grams; that join carries numbers only.  Text and needle come back once, by number, to
+    be compared.  ``within``: columns of both sides that have to be equal, part of the key from the start.
     """
-    listed = needles.where(F.char_length(needle) > 0)
-    words = listed.select(F.col(needle).alias("_nt"), *needle_id).distinct().limit(max_inline + 1).collect()
-    if not words:
-        kinds = dict(needles.dtypes)
-        return texts.where(F.lit(False)).select(*text_id, *[F.lit(None).cast(kinds[k]).alias(k) for k in needle_id])
-    if len(words) <= max_inline:
-        kinds = dict(needles.dtypes)
-        inline = F.array(
-            *[
-                F.struct(
-                    F.lit(w["_nt"]).alias("_nt"), *[F.lit(w[k]).cast(kinds[k]).alias(k) for k in needle_id]
-                )
-                for w in sorted(words, key=repr)
-            ]
-        )
-        hits = F.filter(inline, lambda w: F.col(text).contains(w["_nt"]))
-        found = texts.select(*text_id, F.explode(hits).alias("_hit"))
-        return found.select(*text_id, *[F.col("_hit")[k].alias(k) for k in needle_id])
+    scope = list(within)
+    listed = needles.where(F.char_length(needle) > 0).select(*scope, F.col(needle).alias("_nt"), *needle_id).distinct()
     own = F.when(F.char_length("_nt") < 3, F.array("_nt")).otherwise(F.array_distinct(char_ngrams(F.col("_nt"), 3)))
-    each = listed.select(*needle_id, F.col(needle).alias("_nt")).withColumn("_gram", F.explode(own))
-    spread = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = materialise(
-        each.join(spread, "_gram")
-        .groupBy(*needle_id, "_nt")
-        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    )
-    sizes = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]  # at most 1, 2, 3
-    prefixes = keyed.select("_gram").distinct()
-    grams = F.array_distinct(F.concat(*[char_ngrams(F.col(text), n) for n in sorted(sizes)]))
-    probe = (
-        texts.select(*text_id, F.col(text).alias("_tt"), F.explode(grams).alias("_gram"))
-        .join(prefixes, "_gram", "left_semi")
-        .join(keyed, "_gram")
-        .where(F.col("_tt").contains(F.col("_nt")))
-    )
-    return probe.select(*text_id, *needle_id)
+    each = listed.withColumn("_gram", F.explode(own))
+    spread = each.groupBy(*scope, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = each.join(spread, [*scope, "_gram"]).groupBy(*scope, *needle_id, "_nt").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    filed = materialise(rarest.withColumn("_no", F.monotonically_increasing_id()))
+    rows = materialise(texts.select(*scope, *text_id, F.col(text).alias("_tt")).withColumn("_row", F.monotonically_increasing_id()))
+    met = None
+    for n in (1, 2, 3):  # without needles of a length its part is empty, and is not run
+        asked = filed.where(F.char_length("_gram") == n).select(*scope, "_gram", "_no")
+        grams = rows.select(*scope, "_row", F.explode(F.array_distinct(char_ngrams(F.col("_tt"), n))).alias("_gram"))
+        part = grams.join(asked, [*scope, "_gram"]).select("_row", "_no")
+        met = part if met is None else met.union(part)
+    both = met.join(filed.select("_no", "_nt", *needle_id), "_no").join(rows.select("_row", *scope, *text_id, "_tt"), "_row")
+    return both.where(F.col("_tt").contains(F.col("_nt"))).select(*scope, *text_id, *needle_id)
 
 
 def classify_by_table(

@@ -331,17 +331,20 @@ def fuse_exact(triples: DataFrame, scope: Sequence[str] = (), order: Sequence[st
     """One row per normalised triple (per ``scope``): first surface form, united sources."""
     keys = [T.normalize_term(c).alias(f"_k_{c}") for c in TRIPLE]
     rest = ["head", "relation", "tail", "sources", "conflict", "conflict_note"]
+    key = [*scope, *[f"_k_{c}" for c in TRIPLE]]
     keyed = triples.select(*scope, *keys, *rest, F.struct(*order).alias("_order"))
-    fused = keyed.groupBy(*scope, *[f"_k_{c}" for c in TRIPLE]).agg(
-        F.min_by(F.struct(*rest), "_order").alias("_first"),
-        F.count(F.lit(1)).alias("_n"),
-        F.collect_set("sources").alias("_sources"),
+    # one row for each source first, so that a frequent triple gathers each source once
+    each = keyed.select("*", F.posexplode_outer("sources").alias("_at", "_source"))
+    by_source = each.groupBy(*key, "_source").agg(
+        F.min_by(F.struct(*rest), "_order").alias("_first"), F.min("_order").alias("_order"), F.sum((F.coalesce("_at", F.lit(0)) == 0).cast("long")).alias("_n")
+    )
+    out = by_source.groupBy(*key).agg(
+        F.min_by("_first", "_order").alias("_first"), F.sum("_n").alias("_n"), F.array_sort(F.collect_list("_source")).alias("_union")
     )
-    union = F.array_sort(F.array_distinct(F.flatten("_sources")))
-    return fused.select(
+    return out.select(
         *scope,
         *[F.col("_first")[c].alias(c) for c in TRIPLE],
-        F.when(F.col("_n") == 1, F.col("_first")["sources"]).otherwise(union).alias("sources"),
+        F.when(F.col("_n") == 1, F.col("_first")["sources"]).otherwise(F.col("_union")).alias("sources"),
         F.coalesce(F.col("_first")["conflict"], F.lit(False)).alias("conflict"),
         F.coalesce(F.col("_first")["conflict_note"], F.lit("")).alias("conflict_note"),
     )

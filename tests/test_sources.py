@@ -68,3 +68,20 @@ def test_windowed_risk_waits_for_the_watermark(spark, tmp_path):
     run.awaitTermination()
     got = [(r.risk_scenario, r.complaint_count) for r in spark.table(out).collect()]
     assert got == [("braking_failure_or_abnormal_braking", 2)]
+
+
+def test_json_lines_state_in_versions(spark, tmp_path):
+    from tripleloom.sources import writers
+
+    root, schema = str(tmp_path / "state"), "id bigint"
+    assert writers.read_jsonl_state(spark, root, schema) is None
+    assert writers.write_jsonl_state(spark.range(3), root) == 1
+    first = writers.read_jsonl_state(spark, root, schema)
+    assert writers.write_jsonl_state(spark.range(5), root) == 2
+    spark.range(9).write.json(f"{root}/data/broken")
+    assert writers.read_jsonl_state(spark, root, schema).count() == 5 and first.count() == 3
+    assert [p["rows"] for p in writers._pointers(spark, root)] == [3, 5]
+    assert writers.read_jsonl_state(spark, root, schema, version=1).count() == 3
+    assert writers.write_jsonl_state(spark.range(0), root) == 3 and writers.read_jsonl_state(spark, root, schema).count() == 0
+    assert writers.compact_jsonl_state(spark, root, keep=1) == 3
+    assert writers.read_jsonl_state(spark, root, schema).count() == 0

@@ -126,6 +126,23 @@ def entity_table(spark, d):
     return readers.entity_table(B.table(spark, d, "part").select(F.col("p_type").alias("label"), F.col("p_name").alias("name")))
 
 
+@query(
+    "jsonl_versions",
+    """SELECT 'before' AS reader, event_id, value FROM events WHERE event_type <> 'error'
+       UNION ALL SELECT 'after', event_id, value + 1 FROM events""",
+)
+def jsonl_versions(spark, d):
+    """A state written twice: a reader opened before the second write, and one after it and a broken third."""
+    root, schema = scratch(spark), "event_id bigint, value double"
+    events = B.table(spark, d, "events").select("event_id", "value", "event_type")
+    writers.write_jsonl_state(events.where("event_type <> 'error'").drop("event_type"), root)
+    before = writers.read_jsonl_state(spark, root, schema)
+    writers.write_jsonl_state(events.select("event_id", (F.col("value") + 1).alias("value")), root)
+    events.limit(5).write.json(f"{root}/data/broken")
+    after = writers.read_jsonl_state(spark, root, schema)
+    return before.withColumn("reader", F.lit("before")).unionByName(after.withColumn("reader", F.lit("after")))
+
+
 @query("append_runs", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def append_runs(spark, d):
     """Event counts appended to a run log in two batches."""

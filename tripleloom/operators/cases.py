@@ -406,10 +406,19 @@ def best_round(rounds: DataFrame, threshold: int, keep: Sequence[str] = ("text",
 
 
 # ---------------------------------------------------------------- triage, answers, rendering
-def fault_triage(evidence: DataFrame) -> DataFrame:
-    """Ranked causes from the retrieved cases of each problem (answer of ``retrieve_cases``, limit 6)."""
+def _leading(c: Column | str, n: int | None) -> Column:
+    """The first n items of a list, all of them if n is None."""
+    column = F.col(c) if isinstance(c, str) else c
+    return column if n is None else F.slice(column, 1, n)
+
+
+def fault_triage(evidence: DataFrame, causes: int | None = None, items: int | None = None) -> DataFrame:
+    """Ranked causes from the retrieved cases of each problem (answer of ``retrieve_cases``).
+
+    ``causes`` limits the cases of a problem, ``items`` the items that a check names.
+    """
     def check(label: str, c: str) -> Column:
-        return F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(c, 1, 2), "; ")))
+        return F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(_leading(c, items), "; ")))
 
     checks = F.array_compact(
         F.array(
@@ -420,7 +429,7 @@ def fault_triage(evidence: DataFrame) -> DataFrame:
     totals = evidence.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
     fallback = F.array(F.lit("Cross-check on-site signals and logs."))
     return (
-        evidence.where(F.col("rank") <= 4)
+        evidence.where(F.lit(True) if causes is None else F.col("rank") <= causes)
         .join(totals, "question_id")
         .select(
             "question_id", "rank", "case_id", F.col("case_name").alias("title"),
@@ -432,8 +441,8 @@ def fault_triage(evidence: DataFrame) -> DataFrame:
     )
 
 
-def qa_answers(evidence: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answer text per question with numbered citations of its (at most eight) cases."""
+def qa_answers(evidence: DataFrame, questions: DataFrame, max_types: int | None = None, max_cases: int | None = None) -> DataFrame:
+    """Answer text per question with numbered citations of its cases; ``max_types`` and ``max_cases`` limit what a text lists."""
     name = F.coalesce("case_name", "case_id", F.lit("Unnamed case"))
     kind = F.when(F.coalesce("test_type", F.lit("")) == "", F.lit(V.UNCLASSIFIED)).otherwise(F.col("test_type"))
 
@@ -451,11 +460,11 @@ def qa_answers(evidence: DataFrame, questions: DataFrame) -> DataFrame:
     both = questions.select("question_id", "question").join(grouped, "question_id", "left")
     types = F.expr("array_distinct(transform(filter(rows, r -> r.type <> ''), r -> r.type))")
     by_type = F.transform(
-        F.slice(types, 1, 12),
+        _leading(types, max_types),
         lambda t: F.concat(F.lit("- **"), t, F.lit("**["), F.expr("1L") * F.array_position(F.transform("rows", lambda r: r["type"]), t), F.lit("]")),
     )
     by_case = F.transform(
-        F.slice("rows", 1, 6),
+        _leading("rows", max_cases),
         lambda r: F.concat(F.lit("- **"), r["name"], F.lit("** ("), r["kind"], F.lit(") ["), r["rank"].cast("string"), F.lit("]")),
     )
     wants_types = F.col("question").contains("测试类型") | F.col("question").contains("有哪些")

@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..session import materialise
 from .rules import contains_join
-from .scale import carry_last, first_per_key, top_k_per_key
+from .scale import carry_last, first_per_key, numbered, top_k_per_key
 
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 UNIT_FIELDS = list(V.FIELD_KEYS)
@@ -353,8 +353,8 @@ def unit_text() -> Column:
     return F.concat_ws(" ", *["unit_id", "section_id", "section_title", "function", *UNIT_FIELDS, "requirement_text"])
 
 
-def match_signals(units: DataFrame, sigs: DataFrame, k: int = 12) -> DataFrame:
-    """Signals named or encoded in a unit's text, the first k of the document: document_id, unit_id, rank, signal columns."""
+def match_signals(units: DataFrame, sigs: DataFrame, k: int | None = None) -> DataFrame:
+    """Signals named or encoded in a unit's text, all or the first k of the document: document_id, unit_id, rank, signal columns."""
     named = sigs.where(~F.col("name").isin(V.GENERIC_SIGNALS))
     words = F.array_compact(
         F.array(F.when(F.col("name") != "", F.col("name")), F.when(F.char_length("encoding") >= 4, F.col("encoding")))
@@ -365,6 +365,8 @@ def match_signals(units: DataFrame, sigs: DataFrame, k: int = 12) -> DataFrame:
     hits = contains_join(texts, asked, "_text", "_needle", ["unit_id"], ["_word"], within=["document_id"])
     order = ["section_id", "table_no", "row_index", "signal_id"]
     found = hits.join(by_word, ["document_id", "_word"]).drop("_word").distinct()
+    if k is None:
+        return numbered(found, ["document_id", "unit_id"], [F.col(c) for c in order], "rank")
     return top_k_per_key(found, ["document_id", "unit_id"], [F.col(c) for c in order], k)
 
 
@@ -515,27 +517,27 @@ def usable_unit() -> Column:
     return telling & ~_matches(F.coalesce("section_title", F.lit("")), V.LOW_VALUE_SECTIONS)
 
 
-def select_units(units: DataFrame, clusters: DataFrame, budget: int = 30, per_cluster: int = 6) -> DataFrame:
-    """Usable high and medium units in cluster order, at most ``per_cluster`` each and ``budget`` per document.
+def select_units(units: DataFrame, clusters: DataFrame, budget: int | None = None, per_cluster: int | None = None) -> DataFrame:
+    """Usable high and medium units in cluster order; if given, at most ``per_cluster`` each and ``budget`` per document.
 
     units: document_id, group_id, seq, source_quality, …; clusters: document_id, group_id, cluster_id, page_start.
     """
     good = units.where(F.col("source_quality").isin("high", "medium") & usable_unit())
     key = ["document_id", "group_id"]
-    ranked = top_k_per_key(good, key, [F.col("seq")], per_cluster, "_rank")
+    ranked = numbered(good, key, [F.col("seq")], "_rank") if per_cluster is None else top_k_per_key(good, key, [F.col("seq")], per_cluster, "_rank")
     taken = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy("document_id").orderBy(F.coalesce("page_start", F.lit(999999)), "cluster_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = clusters.select(*key, "cluster_id", "page_start").join(taken, key).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     return (
         ranked.join(offsets.select(*key, "cluster_id", "_before"), key)
         .withColumn("place", (F.col("_before") + F.col("_rank")).cast("long"))
-        .where(F.col("place") <= budget)
+        .where(F.lit(True) if budget is None else F.col("place") <= budget)
         .drop("_before", "_rank")
     )
 
 
-def draft_case(topic: Column | str) -> Column:
-    """Deterministic draft text of a unit."""
+def draft_case(topic: Column | str, max_signals: int | None = None) -> Column:
+    """Deterministic draft text of a unit; ``max_signals`` limits the signals that it names."""
     topic = F.col(topic) if isinstance(topic, str) else topic
     missing = F.lit("Not specified")
 
@@ -543,7 +545,9 @@ def draft_case(topic: Column | str) -> Column:
         return F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in cols], missing)
 
     intents = F.array_join("test_intents", ", ")
-    names = F.array_join(F.array_distinct(F.transform(F.slice(F.coalesce("related_signals", F.array()), 1, 8), lambda s: s["name"])), ", ")
+    related = F.coalesce("related_signals", F.array())
+    related = related if max_signals is None else F.slice(related, 1, max_signals)
+    names = F.array_join(F.array_distinct(F.transform(related, lambda s: s["name"])), ", ")
     lines = [
         F.concat(F.lit("Requirement unit ID: "), first("unit_id")),
         T.strip(F.concat(F.lit("Section: "), first("section_id"), F.lit(" "), F.coalesce("section_title", F.lit("")))),
@@ -559,8 +563,10 @@ def draft_case(topic: Column | str) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def generation_plan(units: DataFrame, clusters: DataFrame, budget: int = 30, per_cluster: int = 6) -> DataFrame:
+def generation_plan(
+    units: DataFrame, clusters: DataFrame, budget: int | None = None, per_cluster: int | None = None, max_signals: int | None = None
+) -> DataFrame:
     """Selected units with their draft text."""
     chosen = select_units(units, clusters, budget, per_cluster)
     topics = clusters.select("document_id", "cluster_id", F.col("topic").alias("_topic"))
-    return chosen.join(topics, ["document_id", "cluster_id"]).withColumn("draft", draft_case("_topic")).drop("_topic")
+    return chosen.join(topics, ["document_id", "cluster_id"]).withColumn("draft", draft_case("_topic", max_signals)).drop("_topic")

@@ -55,7 +55,7 @@ def search_cases(cases: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
     return top_k_per_key(scored, ["query_id"], order, limit).join(totals, "query_id")
 
 
-def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early: int | None = 12) -> DataFrame:
+def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early: int | None = None) -> DataFrame:
     """Cases for questions (question_id, question): token hits by length, name and type bonus, rank ≤ limit.
 
     A token stands inside one word, so tokens meet the distinct words, and words their cases: an inverted index, joined by keys.
@@ -105,10 +105,10 @@ def types_overview(cases: DataFrame, limit: int = 8) -> DataFrame:
     return firsts.orderBy("source_row").limit(limit).withColumn("score", F.lit(0.9))
 
 
-def answer_cases(cases: DataFrame, questions: DataFrame, limit: int = 8) -> DataFrame:
+def answer_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early: int | None = None) -> DataFrame:
     """Evidence per question: the type overview for type questions, token retrieval otherwise."""
     wants = asks_for_types("question")
-    ranked = retrieve_cases(cases, questions.where(~wants), limit).select("question_id", *CASE_COLUMNS, "score", "rank")
+    ranked = retrieve_cases(cases, questions.where(~wants), limit, early).select("question_id", *CASE_COLUMNS, "score", "rank")
     overview = types_overview(cases, limit).select(*CASE_COLUMNS, "score")
     numbered = top_k_per_key(overview.withColumn("_all", F.lit(1)), ["_all"], [F.asc("source_row")], limit)
     asked = questions.where(wants).select("question_id").withColumn("_all", F.lit(1))

@@ -218,12 +218,14 @@ def sanitize_triples(
     return first_per_key(expanded, [image, *TRIPLE], [order, "_pos"]).select(*others, *TRIPLE)
 
 
-def ocr_whitelist(ocr: DataFrame, conf: float = 0.8, min_len: int = 2, max_len: int = 60, cap: int = 300) -> DataFrame:
-    """Terms of each image: confident, valid, distinct ignoring case, the first ``cap`` in line order."""
+def ocr_whitelist(ocr: DataFrame, conf: float = 0.8, min_len: int = 2, max_len: int = 60, cap: int | None = None) -> DataFrame:
+    """Terms of each image: confident, valid, distinct ignoring case, all or the first ``cap`` in line order."""
     good = ocr.where((F.col("score") >= conf) & T.is_valid_term("text", min_len, max_len))
     keyed = good.select("image_id", "line_index", "text", F.lower(F.upper("text")).alias("_fold"))
     firsts = first_per_key(keyed, ["image_id", "_fold"], ["line_index"])
-    return top_k_per_key(firsts, ["image_id"], [F.col("line_index")], cap, "term_no").select("image_id", "term_no", "text")
+    order = [F.col("line_index")]
+    ranked = numbered(firsts, ["image_id"], order, "term_no") if cap is None else top_k_per_key(firsts, ["image_id"], order, cap, "term_no")
+    return ranked.select("image_id", "term_no", "text")
 
 
 def term_confidence(terms: DataFrame, ocr: DataFrame) -> DataFrame:

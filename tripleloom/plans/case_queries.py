@@ -109,7 +109,7 @@ retrieved AS (
     f"WITH {B.CASES_SQL}, {QUESTIONS_SQL}, {_retrieved_sql(8)} SELECT question_id, case_id, score, rank FROM retrieved",
 )
 def retrieve_cases(spark, d):
-    return S.retrieve_cases(B.cases(spark, d), questions(spark, d), 8).select("question_id", "case_id", "score", "rank")
+    return S.retrieve_cases(B.cases(spark, d), questions(spark, d), 8, early=12).select("question_id", "case_id", "score", "rank")
 
 
 @query(
@@ -506,8 +506,8 @@ def best_round(spark, d):
           'E' || rank AS evidence_id, n < 2 AS insufficient_evidence FROM retrieved JOIN n USING (question_id) WHERE rank <= 4""",
 )
 def fault_triage(spark, d):
-    evidence = S.retrieve_cases(B.cases(spark, d), questions(spark, d), 6)
-    return C.fault_triage(evidence).withColumn("checks", F.array_join("checks", "|"))
+    evidence = S.retrieve_cases(B.cases(spark, d), questions(spark, d), 6, early=12)
+    return C.fault_triage(evidence, causes=4, items=2).withColumn("checks", F.array_join("checks", "|"))
 
 
 @query(
@@ -525,7 +525,7 @@ def fault_triage(spark, d):
 )
 def qa_answers(spark, d):
     asked = questions(spark, d)
-    return C.qa_answers(S.answer_cases(B.cases(spark, d), asked, 8), asked)
+    return C.qa_answers(S.answer_cases(B.cases(spark, d), asked, 8, early=12), asked, max_types=12, max_cases=6)
 
 
 @query(

@@ -183,7 +183,7 @@ def match_signals(spark, d):
     from ..session import materialise
 
     tables = materialise(spec_tables(spark, d))
-    out = D.match_signals(D.requirement_units(tables), D.signals(tables))
+    out = D.match_signals(D.requirement_units(tables), D.signals(tables), 12)
     return out.select("document_id", "unit_id", "signal_id", "name", "rank")
 
 
@@ -200,7 +200,7 @@ def unit_coverage(spark, d):
 
     tables = materialise(spec_tables(spark, d))
     found = materialise(D.requirement_units(tables))
-    out = D.coverage(D.with_intents(found, D.match_signals(found, D.signals(tables))))
+    out = D.coverage(D.with_intents(found, D.match_signals(found, D.signals(tables), 12)))
     return out.select("document_id", "unit_id", "function", "must_cover", F.array_join("test_intents", "|").alias("test_intents"))
 
 
@@ -324,7 +324,7 @@ def generation_plan(spark, d):
     clusters = planned.groupBy("document_id", "group_id").agg(F.min("page_start").alias("page_start")).withColumns(
         {"cluster_id": F.col("group_id"), "topic": F.lit("unit topic")}
     )
-    out = D.generation_plan(planned, clusters)
+    out = D.generation_plan(planned, clusters, budget=30, per_cluster=6, max_signals=8)
     return out.select("document_id", "unit_id", "place", F.md5("draft").alias("draft_md5"))
 
 

@@ -21,6 +21,8 @@ QUICK = [
     "search_cases", "retrieve_cases", "graph_projection_nodes", "combination_cases", "reverse_plan", "knn_by_label", "key_entities_structured",
     "lexical_triples", "shortest_paths", "evidence_edges_structured", "split_sections", "requirement_units", "topic_clusters", "apply_reviews",
     "read_cases", "stream_risk_counts", "tolerant_jsonl", "repair_text", "changed_pairs",
+    "json_answers", "image_manifest", "jsonl_versions", "read_document_triples", "match_cases_many_to_many", "similar_cases", "fault_triage", "qa_answers",
+    "match_signals", "skeleton_all_paths", "submit_import",
 ]
 
 

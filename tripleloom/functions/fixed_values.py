@@ -283,3 +283,62 @@ TOPIC_RULES = [
 ]
 META_TITLE = "变更|版本|目录|概述"
 KEYWORD_STOP = ["功能", "需求", "条件", "执行", "结果", "所有", "适用", "车辆", "状态", "章节"]
+
+# How much a known word, a mark of wrong decoding and a replacement character weigh in repaired text; codecs tried.
+USEFUL_WEIGHT, MOJIBAKE_WEIGHT, LOST_WEIGHT = 8, 12, 20
+REPAIR_CODECS = ("gb18030", "gbk")
+
+# Wording of issues found in case texts.
+CASE_ISSUES = {
+    "missing": "Missing field: ",
+    "unnumbered": "Preconditions should use a numbered list (e.g. 1. / 1、)",
+    "unparsed": "Could not parse preconditions",
+    "actions": "Actions empty or too short",
+    "expected": "Expected behavior empty or too short",
+    "short": "Content too short; add actionable steps and verifiable expectations",
+    "short_fields": "Content is short; add executable steps and verifiable expected behavior.",
+}
+
+# Wording of fault triage.
+TRIAGE = {
+    "preconditions": "Verify preconditions",
+    "actions": "Reproduce actions",
+    "expected_behaviors": "Compare expected behavior",
+    "fallback": "Cross-check on-site signals and logs.",
+}
+
+# Wording of answers.
+ANSWER = {
+    "unnamed": "Unnamed case",
+    "not_provided": "Not provided",
+    "opening": "Reference answer below.",
+    "supported": "**Supported by evidence**:",
+    "types": "From retrieved test case evidence, the knowledge graph includes these test types:",
+    "cases": "From retrieved evidence, these cases are relevant:",
+    "sample": "**Sample case structure**:",
+    "case": "- **Case**: ",
+    "type": "- **Type**: ",
+    "preconditions": "- **Preconditions**: ",
+    "actions": "- **Actions**: ",
+    "expected": "- **Expected behavior**: ",
+    "note": "**Note**: Answer from local case retrieval; open evidence on the right for details.",
+    "nothing": "Not enough relevant test case evidence was retrieved from the knowledge graph.\n\n"
+    "Try more specific test types, case names, or feature keywords.",
+}
+
+# Wording of draft cases.
+DRAFT = {
+    "missing": "Not specified",
+    "unit": "Requirement unit ID: ",
+    "section": "Section: ",
+    "topic": "Topic: ",
+    "no_topic": "Unclustered topic",
+    "intents": "Coverage intents: ",
+    "name": "Test case name: Verify ",
+    "no_name": "STS requirement",
+    "preconditions": "Preconditions: ",
+    "steps": "Execution steps: ",
+    "expected": "Expected behavior: ",
+    "signals": "Related signals/interfaces: ",
+    "criteria": "Pass/fail criteria: Actual results must match expected behavior; confirm against original STS where fields are not specified.",
+}

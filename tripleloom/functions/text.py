@@ -196,10 +196,7 @@ def compact_text(c: Column | str, unescape: bool = True) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-REPAIR_CODECS = ("gb18030", "gbk")
-
-
-@F.pandas_udf(StructType([StructField(codec, StringType()) for codec in REPAIR_CODECS]))
+@F.pandas_udf(StructType([StructField(codec, StringType()) for codec in V.REPAIR_CODECS]))
 def _read_again(s: pd.Series) -> pd.DataFrame:
     """What a text is if it was UTF-8 read in each of the codecs; NULL where it cannot be."""
 
@@ -209,7 +206,7 @@ def _read_again(s: pd.Series) -> pd.DataFrame:
         text = raw.str.decode("utf-8", errors="ignore")
         return text.where(faithful & (text.str.encode("utf-8") == raw))
 
-    return pd.DataFrame({codec: again(codec) for codec in REPAIR_CODECS})
+    return pd.DataFrame({codec: again(codec) for codec in V.REPAIR_CODECS})
 
 
 def _occurrences(text: Column, words: list[str]) -> Column:
@@ -220,15 +217,15 @@ def _occurrences(text: Column, words: list[str]) -> Column:
 def _legibility(text: Column) -> Column:
     """Chinese characters and known words speak for a text, marks of wrong decoding against it."""
     chinese = F.regexp_count(text, F.lit(r"[\u4e00-\u9fff]"))
-    lost = F.regexp_count(text, F.lit(r"\?")) + 20 * F.regexp_count(text, F.lit("\ufffd"))
-    return chinese + 8 * _occurrences(text, V.USEFUL_WORDS) - 12 * _occurrences(text, V.MOJIBAKE_MARKERS) - lost
+    lost = F.regexp_count(text, F.lit(r"\?")) + V.LOST_WEIGHT * F.regexp_count(text, F.lit("\ufffd"))
+    return chinese + V.USEFUL_WEIGHT * _occurrences(text, V.USEFUL_WORDS) - V.MOJIBAKE_WEIGHT * _occurrences(text, V.MOJIBAKE_MARKERS) - lost
 
 
 def repair_text(c: Column | str) -> Column:
     """Undo UTF-8 text read as GB18030 or GBK when that makes the text more legible; only texts beyond ASCII go to Python."""
     text = F.coalesce(_c(c), F.lit(""))
     read = _read_again(F.when(text.rlike(r"[^\x00-\x7f]"), text))
-    choices = F.filter(F.array(text, *[read[codec] for codec in REPAIR_CODECS]), lambda x: x.isNotNull())
+    choices = F.filter(F.array(text, *[read[codec] for codec in V.REPAIR_CODECS]), lambda x: x.isNotNull())
     # equal legibility: the first of them
     rated = F.transform(choices, lambda x, i: F.struct(_legibility(x).alias("r"), (-i).alias("i"), x.alias("t")))
     return F.when(F.size(choices) > 1, F.array_max(rated)["t"]).otherwise(text)

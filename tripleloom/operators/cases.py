@@ -363,17 +363,17 @@ def evaluate_case(c: Column | str) -> Column:
     """Score and issues of a case text by its sections and their form."""
     text = F.col(c) if isinstance(c, str) else c
     checks: list[tuple[Column, str, int]] = [
-        (~text.contains(section), f"Missing field: {section}", 20) for section in V.CASE_SECTIONS
+        (~text.contains(section), V.CASE_ISSUES["missing"] + section, 20) for section in V.CASE_SECTIONS
     ]
     body_pattern = r"(?sU)前提条件\s*[:：]\s*(.+?)(\n\s*执行动作\s*[:：]|\n\s*预期行为\s*[:：]|\z)"
     body = T.strip(F.regexp_extract(text, body_pattern, 1))
     found = text.rlike(body_pattern)
     checks += [
-        (found & ~body.rlike(r"(?U)(^|\n)\s*\d+\s*[.|、]\s*\S+"), "Preconditions should use a numbered list (e.g. 1. / 1、)", 10),
-        (~found & text.contains("前提条件"), "Could not parse preconditions", 10),
-        (~text.rlike(r"(?U)执行动作\s*[:：]\s*\S+") & text.contains("执行动作"), "Actions empty or too short", 10),
-        (~text.rlike(r"(?U)预期行为\s*[:：]\s*\S+") & text.contains("预期行为"), "Expected behavior empty or too short", 10),
-        (F.char_length(text) < 120, "Content too short; add actionable steps and verifiable expectations", 10),
+        (found & ~body.rlike(r"(?U)(^|\n)\s*\d+\s*[.|、]\s*\S+"), V.CASE_ISSUES["unnumbered"], 10),
+        (~found & text.contains("前提条件"), V.CASE_ISSUES["unparsed"], 10),
+        (~text.rlike(r"(?U)执行动作\s*[:：]\s*\S+") & text.contains("执行动作"), V.CASE_ISSUES["actions"], 10),
+        (~text.rlike(r"(?U)预期行为\s*[:：]\s*\S+") & text.contains("预期行为"), V.CASE_ISSUES["expected"], 10),
+        (F.char_length(text) < 120, V.CASE_ISSUES["short"], 10),
     ]
     return _scored(checks)
 
@@ -382,9 +382,9 @@ def evaluate_fields(c: Column | str) -> Column:
     """Score and issues of a case text by its four fields under any of their names."""
     text = F.col(c) if isinstance(c, str) else c
     checks = [
-        (~any_contains([text], names), f"Missing field: {field}", 20) for field, names in V.CASE_SECTION_ALIASES.items()
+        (~any_contains([text], names), V.CASE_ISSUES["missing"] + field, 20) for field, names in V.CASE_SECTION_ALIASES.items()
     ]
-    checks.append((F.char_length(text) < 120, "Content is short; add executable steps and verifiable expected behavior.", 10))
+    checks.append((F.char_length(text) < 120, V.CASE_ISSUES["short_fields"], 10))
     return _scored(checks)
 
 
@@ -420,14 +420,9 @@ def fault_triage(evidence: DataFrame, causes: int | None = None, items: int | No
     def check(label: str, c: str) -> Column:
         return F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(_leading(c, items), "; ")))
 
-    checks = F.array_compact(
-        F.array(
-            check("Verify preconditions", "preconditions"), check("Reproduce actions", "actions"),
-            check("Compare expected behavior", "expected_behaviors"),
-        )
-    )
+    checks = F.array_compact(F.array(*[check(V.TRIAGE[c], c) for c in ("preconditions", "actions", "expected_behaviors")]))
     totals = evidence.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
-    fallback = F.array(F.lit("Cross-check on-site signals and logs."))
+    fallback = F.array(F.lit(V.TRIAGE["fallback"]))
     return (
         evidence.where(F.lit(True) if causes is None else F.col("rank") <= causes)
         .join(totals, "question_id")
@@ -443,11 +438,11 @@ def fault_triage(evidence: DataFrame, causes: int | None = None, items: int | No
 
 def qa_answers(evidence: DataFrame, questions: DataFrame, max_types: int | None = None, max_cases: int | None = None) -> DataFrame:
     """Answer text per question with numbered citations of its cases; ``max_types`` and ``max_cases`` limit what a text lists."""
-    name = F.coalesce("case_name", "case_id", F.lit("Unnamed case"))
+    name = F.coalesce("case_name", "case_id", F.lit(V.ANSWER["unnamed"]))
     kind = F.when(F.coalesce("test_type", F.lit("")) == "", F.lit(V.UNCLASSIFIED)).otherwise(F.col("test_type"))
 
     def listed(c: str) -> Column:
-        return F.when(F.size(c) > 0, F.array_join(c, "; ")).otherwise(F.lit("Not provided"))
+        return F.when(F.size(c) > 0, F.array_join(c, "; ")).otherwise(F.lit(V.ANSWER["not_provided"]))
 
     rows = evidence.select(
         "question_id",
@@ -470,26 +465,22 @@ def qa_answers(evidence: DataFrame, questions: DataFrame, max_types: int | None
     wants_types = F.col("question").contains("测试类型") | F.col("question").contains("有哪些")
     first = F.get("rows", 0)
     body = F.concat(
-        F.array(F.lit("Reference answer below."), F.lit(""), F.lit("**Supported by evidence**:")),
+        F.array(F.lit(V.ANSWER["opening"]), F.lit(""), F.lit(V.ANSWER["supported"])),
         F.when(
             wants_types,
-            F.concat(F.array(F.lit("From retrieved test case evidence, the knowledge graph includes these test types:")), by_type),
-        ).otherwise(F.concat(F.array(F.lit("From retrieved evidence, these cases are relevant:")), by_case)),
+            F.concat(F.array(F.lit(V.ANSWER["types"])), by_type),
+        ).otherwise(F.concat(F.array(F.lit(V.ANSWER["cases"])), by_case)),
         F.array(
-            F.lit(""), F.lit("**Sample case structure**:"),
-            F.concat(F.lit("- **Case**: "), first["name"], F.lit("[1]")),
-            F.concat(F.lit("- **Type**: "), first["kind"]),
-            F.concat(F.lit("- **Preconditions**: "), first["pre"]),
-            F.concat(F.lit("- **Actions**: "), first["act"]),
-            F.concat(F.lit("- **Expected behavior**: "), first["exp"]),
-            F.lit(""), F.lit("**Note**: Answer from local case retrieval; open evidence on the right for details."),
+            F.lit(""), F.lit(V.ANSWER["sample"]),
+            F.concat(F.lit(V.ANSWER["case"]), first["name"], F.lit("[1]")),
+            F.concat(F.lit(V.ANSWER["type"]), first["kind"]),
+            F.concat(F.lit(V.ANSWER["preconditions"]), first["pre"]),
+            F.concat(F.lit(V.ANSWER["actions"]), first["act"]),
+            F.concat(F.lit(V.ANSWER["expected"]), first["exp"]),
+            F.lit(""), F.lit(V.ANSWER["note"]),
         ),
     )
-    nothing = (
-        "Not enough relevant test case evidence was retrieved from the knowledge graph.\n\n"
-        "Try more specific test types, case names, or feature keywords."
-    )
-    return both.select("question_id", F.when(F.col("rows").isNull(), F.lit(nothing)).otherwise(F.array_join(body, "\n")).alias("answer"))
+    return both.select("question_id", F.when(F.col("rows").isNull(), F.lit(V.ANSWER["nothing"])).otherwise(F.array_join(body, "\n")).alias("answer"))
 
 
 def render_pae(number: Column | str) -> Column:

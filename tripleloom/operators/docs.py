@@ -539,7 +539,7 @@ def select_units(units: DataFrame, clusters: DataFrame, budget: int | None = Non
 def draft_case(topic: Column | str, max_signals: int | None = None) -> Column:
     """Deterministic draft text of a unit; ``max_signals`` limits the signals that it names."""
     topic = F.col(topic) if isinstance(topic, str) else topic
-    missing = F.lit("Not specified")
+    missing = F.lit(V.DRAFT["missing"])
 
     def first(*cols: str) -> Column:
         return F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in cols], missing)
@@ -549,16 +549,16 @@ def draft_case(topic: Column | str, max_signals: int | None = None) -> Column:
     related = related if max_signals is None else F.slice(related, 1, max_signals)
     names = F.array_join(F.array_distinct(F.transform(related, lambda s: s["name"])), ", ")
     lines = [
-        F.concat(F.lit("Requirement unit ID: "), first("unit_id")),
-        T.strip(F.concat(F.lit("Section: "), first("section_id"), F.lit(" "), F.coalesce("section_title", F.lit("")))),
-        F.concat(F.lit("Topic: "), F.coalesce(topic, F.lit("Unclustered topic"))),
-        F.concat(F.lit("Coverage intents: "), F.when(intents != "", intents).otherwise(missing)),
-        F.concat(F.lit("Test case name: Verify "), F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("function", "section_title")], F.lit("STS requirement"))),
-        F.concat(F.lit("Preconditions: "), first("preconditions")),
-        F.concat(F.lit("Execution steps: "), first("triggers", "actions")),
-        F.concat(F.lit("Expected behavior: "), first("expected_results", "hmi_display", "status_feedback")),
-        F.concat(F.lit("Related signals/interfaces: "), F.when(names != "", names).otherwise(missing)),
-        F.lit("Pass/fail criteria: Actual results must match expected behavior; confirm against original STS where fields are not specified."),
+        F.concat(F.lit(V.DRAFT["unit"]), first("unit_id")),
+        T.strip(F.concat(F.lit(V.DRAFT["section"]), first("section_id"), F.lit(" "), F.coalesce("section_title", F.lit("")))),
+        F.concat(F.lit(V.DRAFT["topic"]), F.coalesce(topic, F.lit(V.DRAFT["no_topic"]))),
+        F.concat(F.lit(V.DRAFT["intents"]), F.when(intents != "", intents).otherwise(missing)),
+        F.concat(F.lit(V.DRAFT["name"]), F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("function", "section_title")], F.lit(V.DRAFT["no_name"]))),
+        F.concat(F.lit(V.DRAFT["preconditions"]), first("preconditions")),
+        F.concat(F.lit(V.DRAFT["steps"]), first("triggers", "actions")),
+        F.concat(F.lit(V.DRAFT["expected"]), first("expected_results", "hmi_display", "status_feedback")),
+        F.concat(F.lit(V.DRAFT["signals"]), F.when(names != "", names).otherwise(missing)),
+        F.lit(V.DRAFT["criteria"]),
     ]
     return F.concat_ws("\n", *lines)
 

@@ -232,6 +232,20 @@ def test_prefix_trie_of_few_conversations(spark, conversations):
     assert got == expected_nodes(rows) == [(heads, 0, None, 1, 0, 1, 0, hashlib.sha256(str(heads).encode()).hexdigest())]
 
 
+def test_prefix_trie_query_equals_its_sql(spark):
+    import duckdb
+
+    from tripleloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    cur = con.execute(queries.FAMILY.oracles["op13_prefix_trie"])
+    want, names = cur.fetchall(), [c[0] for c in cur.description]
+    got = queries.FAMILY.queries["op13_prefix_trie"](spark, folder).select(*names)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
+
+
 def test_double_array_finds_every_child_and_no_other():
     rng = np.random.default_rng(3)
     sequences = [rng.integers(1, 40, rng.integers(0, 9)) for _ in range(400)]

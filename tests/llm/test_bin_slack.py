@@ -114,3 +114,19 @@ def test_special_tokens_are_found_by_case(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.tokenize(docs, WORDS).collect()}
     assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_ids_of_odd_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as file:
+        spec = file.read()
+    reference = Tokenizer.from_str(spec)
+    tokenizer, closing, memo = packing._worker_memo(spec, 0)
+    memo.put("", [])
+    rng = random.Random(1)
+    letters = "aàßİıΣσςéÉñ世界ǅﬁ.,;:!?'’-_1² <|>\u0301\u0345ªºⅧ"
+    for text in ("".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)):
+        own = text.split(" ")
+        packing._learn(tokenizer, closing, memo, [w for w in set(own) if w not in memo])
+        assert memo.ids(own, [len(own)])[0].tolist() == reference.encode(text, add_special_tokens=False).ids, text

@@ -32,14 +32,18 @@ _MEMOS: dict[tuple[str, int], tuple] = {}
 
 
 def _worker_memo(spec: str, end_id: int) -> tuple:
-    """Tokenizer and memo of this worker; the memo outlives a task but not its limit. It holds the end id, too."""
+    """Tokenizer, flags of the ids that end a word, and memo of this worker; the memo outlives a task but not its limit. It holds the end id, too."""
     if (spec, end_id) not in _MEMOS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
+        vocabulary = tokenizer.get_vocab()
+        closing = bytearray(max(vocabulary.values()) + 1)
+        for token, number in vocabulary.items():
+            closing[number] = token.endswith("</w>")
         _MEMOS.clear()
-        _MEMOS[spec, end_id] = tokenizer, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, limit=900_000)
+        _MEMOS[spec, end_id] = tokenizer, closing, Memo(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, limit=900_000)
     return _MEMOS[spec, end_id]
 
 
@@ -48,35 +52,39 @@ def _core(word: str) -> tuple[str, str]:
 
     Special tokens (`<|name|>`) are found before case is dropped, so a word that may hold one stays as it is.
     """
-    if word.isascii() and "<|" not in word:
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return word[:-1].lower(), word[-1]
-        return word.lower(), ""
-    return word, ""
+    if "<|" in word:
+        return word, ""
+    if word.isascii():
+        word = word.lower()
+        letters = word[:-1].isalpha()
+    else:  # a letter whose small form ends in a combining mark holds on to the mark behind it
+        letters = word[:-1].lower().isalpha()
+    return (word[:-1], word[-1]) if letters and word[-1:] in MARKS else (word, "")
 
 
-def _learn(tokenizer, memo: Memo, words: list[str]) -> None:
+def _learn(tokenizer, closing: bytearray, memo: Memo, words: list[str]) -> None:
     """Put words into the memo; those that differ in case or a last mark only are encoded once.
 
-    Words of ASCII letters have one end-of-word token each, so many are encoded as one text and told apart by it.
+    Words of letters have one end-of-word token each, so many are encoded as one text and told apart by it; should a word come
+    apart when its case changes, the count tells, and the group is encoded word by word.
     """
     parts = [_core(w) for w in words]
     new = [c for c in {core for core, _ in parts}.union(MARKS) if c not in memo]
-    letters = [c for c in new if c.isascii() and c.isalpha()]
+    letters = [c for c in new if c.isalpha()]
     for start in range(0, len(letters), TOGETHER):
         group = letters[start : start + TOGETHER]
-        coded = tokenizer.encode(" ".join(group), add_special_tokens=False)
-        ends = [i for i, token in enumerate(coded.tokens, 1) if token.endswith("</w>")]
-        ids = coded.ids
+        ids = tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids
+        ends = [i for i, number in enumerate(ids, 1) if closing[number]]
         if len(ends) == len(group):
             for core, a, b in zip(group, [0, *ends], ends):
                 memo.put(core, ids[a:b])
     rest = [c for c in new if c not in memo]
     for core, coded in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
         memo.put(core, coded.ids)
+    of, put = memo.of, memo.put
     for word, (core, mark) in zip(words, parts):
         if word not in memo:
-            memo.put(word, memo.of(core) + memo.of(mark) if mark else memo.of(core))
+            put(word, of(core) + of(mark) if mark else of(core))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -89,7 +97,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo = _worker_memo(shared.value, end_id)
+        tokenizer, closing, memo = _worker_memo(shared.value, end_id)
         for batch in batches:
             memo.trim()
             if END not in memo:
@@ -101,7 +109,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 words += own
                 words.append(END)
                 per_text.append(len(own) + 1)
-            _learn(tokenizer, memo, [w for w in set(words) if w not in memo])
+            _learn(tokenizer, closing, memo, [w for w in set(words) if w not in memo])
             flat, counts = memo.ids(words, per_text)
             flat = flat.astype("<u4")
             rows, pieces, starts, lengths, totals, ids, at = [], [], [], [], [], [], 0

@@ -221,7 +221,7 @@ def sanitize_triples(
 def ocr_whitelist(ocr: DataFrame, conf: float = 0.8, min_len: int = 2, max_len: int = 60, cap: int | None = None) -> DataFrame:
     """Terms of each image: confident, valid, distinct ignoring case, all or the first ``cap`` in line order."""
     good = ocr.where((F.col("score") >= conf) & T.is_valid_term("text", min_len, max_len))
-    keyed = good.select("image_id", "line_index", "text", F.lower(F.upper("text")).alias("_fold"))
+    keyed = good.select("image_id", "line_index", "text", T.fold("text").alias("_fold"))
     firsts = first_per_key(keyed, ["image_id", "_fold"], ["line_index"])
     order = [F.col("line_index")]
     ranked = numbered(firsts, ["image_id"], order, "term_no") if cap is None else top_k_per_key(firsts, ["image_id"], order, cap, "term_no")
@@ -231,13 +231,13 @@ def ocr_whitelist(ocr: DataFrame, conf: float = 0.8, min_len: int = 2, max_len:
 def term_confidence(terms: DataFrame, ocr: DataFrame) -> DataFrame:
     """Best OCR score and number of OCR hits of each (image, term)."""
     scores = (
-        ocr.select("image_id", F.lower(F.upper(T.strip("text"))).alias("_fold"), "score")
+        ocr.select("image_id", T.fold(T.strip("text")).alias("_fold"), "score")
         .where(F.col("_fold") != "")
         .groupBy("image_id", "_fold")
         .agg(F.max("score").alias("_best"), F.count(F.lit(1)).alias("_hits"))
     )
     return (
-        terms.withColumn("_fold", F.lower(F.upper(T.strip("text"))))
+        terms.withColumn("_fold", T.fold(T.strip("text")))
         .join(scores, ["image_id", "_fold"], "left")
         .withColumn("confidence", F.round("_best", 4))
         .withColumn("hits", F.coalesce("_hits", F.lit(0)).cast("long"))

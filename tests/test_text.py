@@ -178,3 +178,32 @@ def test_json_candidates_equal_a_stack(spark):
     clean = {r.t: r.s for r in spark.createDataFrame([(t,) for t in set(texts)], "t string").select("t", strip_code_fence("t").alias("s")).collect()}
     for r in rows:
         assert [c["text"] for c in r.c] == balanced(clean[r.t]), r.t
+
+
+def test_references_without_semicolon_can_stay(spark):
+    texts = ["a&amp", "&amp;lt;&#65;&nope;"]
+    assert one(spark, T.compact_text, *texts) == ["a&", "&lt;A&nope;"]
+    assert one(spark, lambda c: T.compact_text(c, bare=False), *texts) == ["a&amp", "&lt;A&nope;"]
+
+
+def test_fold_makes_sharp_s_two_letters(spark):
+    assert one(spark, T.fold, "ßau", "SSau", "GROẞ") == ["ssau", "ssau", "gross"]
+
+
+def test_terms_that_fold_alike_are_one(spark):
+    ocr = spark.createDataFrame([("i", 0, "ßau", 0.8), ("i", 1, "SSau", 1.0)], "image_id string, line_index int, text string, score double")
+    terms = X.ocr_whitelist(ocr, 0.8, 2, 20)
+    assert [tuple(r) for r in terms.collect()] == [("i", 1, "ßau")]
+    assert [(r["confidence"], r["hits"]) for r in X.term_confidence(terms, ocr).collect()] == [(1.0, 2)]
+
+
+def test_question_tokens_keep_numbers_beyond_digits(spark):
+    assert one(spark, T.question_tokens, "x½ x‿y m²") == [["x½", "m²"]]
+
+
+def test_texts_without_a_token_have_no_row(spark, tmp_path):
+    from tripleloom.plans import text_queries
+
+    rows = [(1, "a b"), (2, ""), (3, None), (4, "ab c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in text_queries.question_tokens(spark, str(tmp_path)).collect()] == [(4, "ab")]

@@ -372,3 +372,25 @@ def test_subsets_of_many_items(spark):
     every = [r.combo_name for r in C.combination_cases(df.where("case_id = 'b'")).collect()]
     want = {f"n-combo{k}items(items {'+'.join(str(i + 1) for i in c)})" for k in range(1, 14) for c in combinations(range(14), k)}
     assert len(every) == len(want) and set(every) == want
+
+
+def test_tables_by_case_are_indexed_without_a_shuffle(spark):
+    from tripleloom.session import materialise
+
+    rows = [(f"c{i % 7}", f"h{i}", "r", f"t{i}", f"f{i:04}") for i in range(300)]
+    triples = spark.createDataFrame(rows, "case_key string, head string, relation string, tail string, fact_hash string")
+    fields = {c: F.lit(c) for c in ("doc_version", *I.PROVENANCE) if c != "row"} | {"row": F.lit(1)}
+    stored = materialise(triples.withColumns(fields), "case_key")
+    index = I.rebuild_index(stored)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    # more hashes than are looked through one by one
+    current = stored.where(~F.col("fact_hash").isin("f0003", "f0010"))
+    fewer = stored.where(F.col("case_key") != "c5").where("fact_hash < 'f0020'")
+    matches = spark.createDataFrame([(f"c{i}", f"c{i}") for i in range(5)] + [("c6", "c6")], "cand_key string, cur_key string")
+    more = spark.createDataFrame([("c1", f"h{i}", "r", "n", f"n{i:04}") for i in range(100)], triples.schema).withColumns(fields)
+    cand = fewer.unionByName(more)
+    add, remove = I.diff(cand, I.rebuild_index(cand), current, I.rebuild_index(current), matches, hashes=False)
+    assert sorted(r["fact_hash"] for r in add.collect()) == sorted(["f0003", "f0010", *(f"n{i:04}" for i in range(100))])
+    gone = [(r["change_type"], r["fact_hash"]) for r in remove.collect()]
+    want = [("deleted_case_remove" if r[0] == "c5" else "changed_case_remove", r[4]) for r in rows if r[4] not in ("f0003", "f0010") and (r[0] == "c5" or r[4] >= "f0020")]
+    assert sorted(gone) == sorted(want)

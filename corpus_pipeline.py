@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its place in a training sequence."""
-    return packing.packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """One row per piece with its place in a training sequence; the memo is half as large as alone, the stages before leave memory taken."""
+    return packing.packing(docs, public_tokenizers.path("word_bpe_49k.json"), held=120 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

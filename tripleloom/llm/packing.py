@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, materialise, row_number_salted
+from .common import KEPT, fresh, map_texts, materialise, row_number_salted
 from .memo import Memo
 
 CAPACITY = 2048
@@ -28,7 +28,9 @@ END = "\n"
 #: Marks that may end a word.
 MARKS = frozenset(".,;:!?")
 TOGETHER = 500
-_MEMOS: dict[tuple[str, int], tuple] = {}
+#: Bytes of a worker's memo.
+HELD = 240 << 20
+_MEMOS: dict[tuple[str, int], tuple] = KEPT.setdefault("packing", {})
 
 
 def _worker_memo(spec: str, end_id: int) -> tuple:
@@ -87,7 +89,7 @@ def _learn(tokenizer, closing: bytearray, memo: Memo, words: list[str]) -> None:
             put(word, of(core) + of(mark) if mark else of(core))
 
 
-def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, held: int = HELD) -> DataFrame:
     """doc_id, piece, start, length, doc_tokens, ids (little-endian unsigned 32-bit): each text's ids and the end id, cut to the capacity.
 
     The vocabulary's patterns never match across white space, so a text is encoded word by word, each distinct word once.
@@ -98,6 +100,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, closing, memo = _worker_memo(shared.value, end_id)
+        memo.most = held
         for batch in batches:
             memo.trim()
             if END not in memo:
@@ -129,7 +132,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
             )
 
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return map_texts(inputs, "text", work, f"doc_id {kind}, piece int, start long, length long, doc_tokens long, ids binary")
+    return map_texts(inputs, "text", work, f"doc_id {kind}, piece int, start long, length long, doc_tokens long, ids binary", keeps="packing")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -202,7 +205,7 @@ def assemble(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
-def packing(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packing(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, held: int = HELD) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = tokenize(docs, vocabulary, doc_id, text, capacity)
+    pieces = tokenize(docs, vocabulary, doc_id, text, capacity, held=held)
     return pack(materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), capacity=capacity)

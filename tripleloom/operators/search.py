@@ -10,7 +10,7 @@ from ..functions.text import question_tokens
 from ..session import materialise
 from .inverted import tokens_in_words
 from .rules import any_contains, contains_join
-from .scale import first_per_key, top_k_per_key
+from .scale import first_per_key, global_rank, top_k_per_key
 
 CASE_COLUMNS = ["case_id", "case_name", "test_type", "preconditions", "actions", "expected_behaviors", "source", "source_row"]
 
@@ -55,12 +55,35 @@ def search_cases(cases: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
     return top_k_per_key(scored, ["query_id"], order, limit).join(totals, "query_id")
 
 
+#: The best score of a case for a question.
+FULL = 0.999
+
+
+def _score(weight: Column, in_name: Column, in_type: Column) -> Column:
+    total = F.least(weight, F.lit(1.2)) + F.when(in_name, 0.35).otherwise(0.0) + F.when(in_type, 0.2).otherwise(0.0)
+    return F.round(F.least(total, F.lit(FULL)), 4)
+
+
+def _bounded(asked: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """asked with ``_bound``: the place of the last of ``limit`` entries that surely have the best score; null if so many are not known.
+
+    A token that gives the best score alone gives it to its whole list, of which only the first places can be asked for.
+    """
+    firsts = top_k_per_key(postings, ["token", "_name", "_type"], [F.asc("_place")], limit).drop("rank")
+    alone = _score(F.col("weight"), F.col("_name") & F.col("bonus"), F.col("_type") & F.col("bonus"))
+    sure = asked.join(firsts, "token").where(alone >= FULL).select("question_id", "_place").distinct()
+    bounds = top_k_per_key(sure, ["question_id"], [F.asc("_place")], limit).where(F.col("rank") == limit)
+    return asked.join(bounds.select("question_id", F.col("_place").alias("_bound")), "question_id", "left")
+
+
 def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early: int | None = None) -> DataFrame:
     """Cases for questions (question_id, question): token hits by length, name and type bonus, rank ≤ limit.
 
     A token stands inside one word, so tokens meet the distinct words, and words their cases: an inverted index, joined by keys.
     Cases in which the same tokens hit the same fields score alike for every question; they are one entry of the index, of
-    which only the ``limit`` first by name and row can be asked for.  ``early``: tokens that may earn the bonus, None for all.
+    which only the ``limit`` first by name and row can be asked for.  Scores have an upper end, and of entries there the first by
+    name and row win: a question with ``limit`` entries that surely are there meets no entry behind the last of them.
+    ``early``: tokens that may earn the bonus, None for all.
     """
     rows = materialise(cases.select(*CASE_COLUMNS, search_blob().alias("_blob")).withColumn("_row", F.monotonically_increasing_id()))
     asked = questions.select("question_id", F.posexplode(question_tokens("question")).alias("_place", "token"))
@@ -76,21 +99,29 @@ def retrieve_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early
     inside = materialise(tokens_in_words(cut, asked))
     hits = cut.join(inside, "word").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("token", "field"))).alias("_hits"))
     # cases without any hit have no entry
-    alike = rows.drop("_blob").join(hits, "_row").withColumn("_entry", F.sha2(F.to_json("_hits"), 256))
+    alike = rows.select("_row", "case_name", "source_row").join(hits, "_row").withColumn("_entry", F.sha2(F.to_json("_hits"), 256))
     first = materialise(top_k_per_key(alike, ["_entry"], [F.asc("case_name"), F.asc("source_row"), F.asc("_row")], limit, "_in_entry"))
-    head = first.where("_in_entry = 1").select("_entry", "case_name", "source_row", "_hits")
-    postings = head.select("_entry", F.explode("_hits").alias("h")).groupBy("_entry", F.col("h.token").alias("token")).agg(
-        F.max(F.col("h.field") == 1).alias("_name"), F.max(F.col("h.field") == 2).alias("_type")
-    )
-    scored = postings.join(asked, "token").groupBy("question_id", "_entry").agg(
+    # entries are known by their place, a number
+    order = [F.asc("case_name"), F.asc("source_row"), F.asc("_entry")]
+    head = global_rank(first.where("_in_entry = 1").select("_entry", "case_name", "source_row", "_hits"), order, "_place")
+    cut = head.select("_place", "_hits", F.explode(F.array_distinct(F.transform("_hits", lambda h: h["token"]))).alias("token"))
+
+    def hit(field: int) -> Column:
+        return F.exists("_hits", lambda h: (h["token"] == F.col("token")) & (h["field"] == field))
+
+    postings = materialise(cut.select("_place", "token", hit(1).alias("_name"), hit(2).alias("_type")))
+    asked = materialise(_bounded(asked, postings, limit))
+    reach = asked.groupBy("token").agg(F.max("_bound").alias("_reach"), F.max(F.col("_bound").isNull()).alias("_open"))
+    near = postings.join(reach, "token").where(F.col("_open") | (F.col("_place") <= F.col("_reach"))).drop("_open", "_reach")
+    met = near.join(asked, "token").where(F.col("_bound").isNull() | (F.col("_place") <= F.col("_bound")))
+    scored = met.groupBy("question_id", "_place").agg(
         F.sum("weight").alias("weight"), F.max(F.col("_name") & F.col("bonus")).alias("_name"), F.max(F.col("_type") & F.col("bonus")).alias("_type")
     )
-    total = F.least("weight", F.lit(1.2)) + F.when(F.col("_name"), 0.35).otherwise(0.0) + F.when(F.col("_type"), 0.2).otherwise(0.0)
-    scored = scored.select("question_id", "_entry", F.round(F.least(total, F.lit(0.999)), 4).alias("score"))
-    order = [F.desc("score"), F.asc("case_name"), F.asc("source_row")]
-    best = top_k_per_key(scored.join(head.drop("_hits"), "_entry"), ["question_id"], [*order, F.asc("_entry")], limit).select("question_id", "_entry", "score")
-    out = best.join(first.drop("_hits", "_in_entry"), "_entry")
-    return top_k_per_key(out, ["question_id"], [*order, F.asc("_row")], limit).select(*CASE_COLUMNS, "question_id", "score", "rank")
+    scored = scored.select("question_id", "_place", _score(F.col("weight"), F.col("_name"), F.col("_type")).alias("score"))
+    best = top_k_per_key(scored, ["question_id"], [F.desc("score"), F.asc("_place")], limit).select("question_id", "_place", "score")
+    out = best.join(head.select("_place", "_entry"), "_place").select("question_id", "score", "_entry").join(first.drop("_hits", "_in_entry"), "_entry")
+    ranked = top_k_per_key(out, ["question_id"], [F.desc("score"), F.asc("case_name"), F.asc("source_row"), F.asc("_row")], limit)
+    return rows.join(ranked.select("_row", "question_id", "score", "rank"), "_row").select(*CASE_COLUMNS, "question_id", "score", "rank")
 
 
 def asks_for_types(question: Column | str) -> Column:

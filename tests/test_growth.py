@@ -1,4 +1,4 @@
-"""Joins of searches make rows in proportion to their input, frequent words included."""
+"""Joins of searches and walks make rows in proportion to their input, hubs and frequent words included."""
 
 import os
 import random
@@ -6,6 +6,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tripleloom.operators import graph as G  # noqa: E402
 from tripleloom.operators import search as S  # noqa: E402
 
 
@@ -27,6 +28,33 @@ def joined_rows(spark, run):
     return made, out
 
 
+def walk(spark, n):
+    """n customers of one nation, each with an order of more parts than a region has nations."""
+    edges = [("N", "IN_REGION", "R")]
+    for i in range(n):
+        edges += [(f"C{i}", "IN_NATION", "N"), (f"O{i}", "PLACED_BY", f"C{i}"), *[(f"O{i}", "CONTAINS", f"P{i}-{j}") for j in range(3)]]
+    keys = [(i, name) for i in range(n) for name in (f"O{i}", "N", "R")]
+    return spark.createDataFrame(edges, "src string, relation string, dst string"), spark.createDataFrame(keys, "query_id int, name string")
+
+
+def test_a_hub_is_not_opened_for_every_pair(spark):
+    made = []
+    for n in (60, 240):
+        edges, keys = walk(spark, n)
+        paths_made, paths = joined_rows(spark, lambda: G.shortest_paths(edges, G.entity_pairs(keys), 3).collect())
+        assert sorted((r.query_id, r.u, r.v, r.distance) for r in paths) == sorted(
+            row for i in range(n) for row in ((i, "N", "R", 1), (i, "N", f"O{i}", 2), (i, f"O{i}", "R", 3))
+        )
+        tree = spark.createDataFrame([(r.query_id, r.u, r.v, r.distance) for r in paths], "query_id int, u string, v string, distance long")
+        all_made, steps = joined_rows(spark, lambda: G.skeleton_all(edges, tree, 3).collect())
+        want = {(i, *e) for i in range(n) for e in (
+            ("N", "IN_REGION", "R"), ("N", "IN_NATION", f"C{i}"), (f"C{i}", "PLACED_BY", f"O{i}"), (f"O{i}", "PLACED_BY", f"C{i}"), (f"C{i}", "IN_NATION", "N"),
+        )}
+        assert {tuple(r) for r in steps} == want
+        made.append((paths_made, all_made))
+    assert made[1][0] < 6 * made[0][0] and made[1][1] < 6 * made[0][1]
+
+
 def brute_retrieval(cases, questions, limit):
     out = set()
     for qid, question in questions:

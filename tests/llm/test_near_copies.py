@@ -121,3 +121,11 @@ def test_rows_of_one_id_and_rows_without_id(spark):
     assert [tuple(r) for r in kept if r.doc_id is None] == [(None, three, 2)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_simhash_alone_links_copies_of_like_fingerprint(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(1000))
+    rows = [(4, text), (7, text + " more"), (8, " ".join(f"x{i}" for i in range(1000)))]
+    monkeypatch.setattr(near_copies, "_stars", lambda bands_of: bands_of.sparkSession.createDataFrame([], "node long, least long"))
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [4, 8]

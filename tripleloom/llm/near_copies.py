@@ -1,6 +1,7 @@
 """Near copies by exact Jaccard similarity of five-word shingles, of rows whose similarity is `LEAST` or more and of chains of such rows.
 
-A text is the set of the 64-bit hashes of its shingles; equal sets are one node from the start. MinHash bands find candidates: a
+A text is the set of the 64-bit hashes of its shingles; equal sets are one node from the start. Candidates are found by SimHash:
+sets whose fingerprints differ in 3 or fewer bits, by the index of `simhash`. These bits miss many pairs of 0.8, so MinHash bands find the others: a
 pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, that is 99.7 % at 0.8. Each set is compared exactly
 with the smallest it shares a band with, then sets that are still apart with the smallest of the band that shows it. Bands whose sets
 are one group by then hold nothing more. The sets of the other bands, such as texts around a common passage, are joined exactly by
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import fresh, map_texts, materialise
 from .components import components
-from .simhash import shingle_digests
+from .simhash import majority, near_links, shingle_digests
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 8
@@ -67,16 +68,18 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of its set), bands of every row."""
+    """doc_id, mark (hash of the text), node (hash of its set), bands, fp (SimHash fingerprint of the set) of every row."""
     inputs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([_node(s) for s in sets], pa.int64()), keys], ["doc_id", "mark", "node", "bands"])
+            prints = majority(np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64))
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array([_node(s) for s in sets], pa.int64()), keys, pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "bands", "fp"])
 
-    return map_texts(inputs, "text", work, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, mark long, node long, bands array<long>")
+    return map_texts(inputs, "text", work, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, mark long, node long, bands array<long>, fp long")
 
 
 def _stars(bands_of: DataFrame) -> DataFrame:
@@ -94,6 +97,17 @@ def _stars(bands_of: DataFrame) -> DataFrame:
     return inside.union(across).groupBy("node").agg(F.min("least").alias("least"))
 
 
+def _alike_prints(prints_of: DataFrame) -> DataFrame:
+    """(node, least): a forest over nodes whose fingerprints differ in 3 or fewer bits; `prints_of`: node, fp."""
+    prints = materialise(prints_of.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    same = prints_of.join(prints.where("n > 1"), "fp").where("node <> least").select("node", "least")
+    links = near_links(prints.select("fp"))
+    for end in ("a", "b"):
+        links = links.join(prints.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}")), end)
+    across = links.select(F.greatest("node_a", "node_b").alias("node"), F.least("node_a", "node_b").alias("least"))
+    return same.union(across)
+
+
 def _open_bands(bands_of: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, least) of the bands whose sets have different labels, and (key, node, root) of their members; `bands_of`: node, bands."""
     filed = bands_of.join(labels, "node").select(F.explode("bands").alias("key"), "node", "root")
@@ -226,8 +240,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     """doc_id, mark, component (a node) of every row."""
     found = materialise(prints(docs, doc_id, text))
     distinct = found.groupBy("node").agg(F.first("bands").alias("bands"))
-    first = materialise(_stars(distinct))
-    # one row for each set that shares a band, with its text
+    alike = _alike_prints(found.groupBy("node").agg(F.first("fp").alias("fp")))
+    first = materialise(alike.union(_stars(distinct)).distinct())
+    # one row for each candidate set, with its text
     candidates = materialise(first.select("node").union(first.select("least")).distinct())
     one = found.select("node", "doc_id", "mark").join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
     keys, maybe = [fresh("key") for _ in range(3)], fresh("maybe")
@@ -244,7 +259,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     made = map_texts(texts, "text", work, "node long, n long, hashes binary")
     sets = materialise(made.join(candidates, "node", "left_semi").dropDuplicates(["node"]))
     hashes, labels = sets.drop("n"), candidates.select("node", F.col("node").alias("root"))
-    # most sets are near the smallest of all their bands; other pairs are compared only if that left them apart
+    # most sets are near one of like fingerprint or the smallest of all their bands; other pairs are compared only if that left them apart
     labels = _joined(labels, materialise(_near(first, hashes, LEAST, part_sets)).where("near"))
     of_candidates = materialise(distinct.join(candidates, "node"))
     open_keys, members = _open_bands(of_candidates, labels)

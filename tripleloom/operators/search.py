@@ -148,9 +148,12 @@ def answer_cases(cases: DataFrame, questions: DataFrame, limit: int = 8, early:
 
 def find_case(cases: DataFrame, lookups: DataFrame) -> DataFrame:
     """One case per lookup (lookup_id, needle): the case of that id, else the first whose name contains it."""
+    cases = materialise(cases.select("case_id", "case_name", "source_row"))
     exact = cases.join(lookups, F.col("case_id") == F.col("needle")).select("lookup_id", F.lit(0).alias("_how"), "case_id", "source_row")
     open_ = lookups.join(exact.select("lookup_id").distinct(), "lookup_id", "left_anti")
-    named = contains_join(cases, open_, "case_name", "needle", ["case_id", "source_row"], ["lookup_id"])
+    # of the cases of one name only the first counts
+    firsts = first_per_key(cases.where(F.col("case_name").isNotNull()), ["case_name"], ["source_row", "case_id"])
+    named = contains_join(firsts, open_, "case_name", "needle", ["case_id", "source_row"], ["lookup_id"])
     both = exact.unionByName(named.withColumn("_how", F.lit(1)))
     return first_per_key(both, ["lookup_id"], ["_how", "source_row"]).drop("_how")
 

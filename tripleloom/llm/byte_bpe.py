@@ -202,6 +202,8 @@ class Encoder:
         return [i for pretoken in pretokens for i in self.known.of(pretoken)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        # pre-tokens are held within the bytes of the pieces
+        self.known.most = min(self.known.most, self.memo.most * 3 // 4)
         self.memo.trim()
         self.known.trim()
         pieces, per_text = [], []

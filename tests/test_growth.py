@@ -7,6 +7,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tripleloom.operators import graph as G  # noqa: E402
+from tripleloom.operators import lexical as L  # noqa: E402
 from tripleloom.operators import search as S  # noqa: E402
 
 
@@ -88,3 +89,21 @@ def test_questions_that_many_cases_answer_in_full_meet_few(spark):
 
     # each of the 30 questions asks for a word of nearly every case, and two digits of their numbers tell cases apart
     assert run(1500) < 1500 * 30
+
+
+def test_triples_of_equal_content_meet_a_query_once(spark):
+    names, colours = ["bolt", "ring", "plate", "nut"], ["red", "blue", "green", "grey", "pink"]
+
+    def run(copies):
+        rows = [(f"doc {c}", f"{c} {n} rev {i}", "MADE_BY", f"brand {n}", [f"page {i}"], i % 3 == 0, "") for n in names for c in colours for i in range(8)]
+        triples = spark.createDataFrame(
+            [(copy * len(rows) + at, *row) for copy in range(copies) for at, row in enumerate(rows)],
+            "row_id long, doc_name string, head string, relation string, tail string, sources array<string>, conflict boolean, conflict_note string",
+        )
+        queries = spark.createDataFrame([(f"{c}{n}", f"check the {c} {n} made_by brand {n}") for n in names for c in colours], "query_id string, query string")
+        made, got = joined_rows(spark, lambda: L.lexical_triples(queries, triples).collect())
+        return made, sorted((r.query_id, r.row_id, r.score, r["rank"]) for r in got)
+
+    (once, first), (many, same) = run(1), run(12)
+    assert first and first == same
+    assert many < 2 * once

@@ -83,3 +83,25 @@ def test_changed_facts_of_small_cases_pair_in_their_row(spark):
     # written in rounds before: every case now pairs by one join
     made, _ = joined_rows(spark, lambda: I.changed_pairs(*only).collect())
     assert made <= 1
+
+
+def test_cases_are_parsed_once_and_only_repeated_ones_are_numbered(spark):
+    from tripleloom.operators import versioning as I
+    from tripleloom.functions import text as T
+
+    def record(kind, name, items):
+        cells = " ".join(f"[{i}]{x}。" for i, x in enumerate(items, 1))
+        lists = [f"{label}: {cells}" for label in T.V.RECORD_LISTS]
+        return "\n".join([f"Test Case Type: {kind}", f"Test Case Name: {name}", "Test Case Logic: l", *lists])
+
+    rows = [("f", 3, record("A", "x", ["p (ON)", "p (ON)"])), ("f", 1, record("A", "x", ["q"])), ("g", 1, record("A", "x", ["p"])), (None, 4, record("B", "y", ["p"])), (None, 2, record("B", "y", ["p"]))]
+    parsed = spark.createDataFrame(rows, "source_file string, row long, record string").select("source_file", "row", T.parse_case_record("record").alias("case"))
+    triples, index = I.versioned_triples(parsed, "d")
+    keys = {(r.source_file, r.row): r.case_key for r in index.collect()}
+    want = {at: n for at, n in zip([("f", 1), ("f", 3), ("g", 1), (None, 2), (None, 4)], [1, 2, 1, 1, 2])}
+    hashed = spark.createDataFrame([(*at, ("A" if at[0] else "B") + "测试用例", "x" if at[0] else "y", n) for at, n in want.items()], "f string, r long, i string, n string, o long")
+    assert keys == {(r.f, r.r): r.k for r in hashed.select("f", "r", T.case_key("i", "n", "o").alias("k")).collect()}
+    told = [(r.row, r.head, r.relation, r.tail) for r in triples.where("source_file = 'f'").orderBy("row", "pos").collect()]
+    assert len(told) == len(set(told)) and (3, "p (ON)", "预期值", "ON") in told
+    # the cases are written once: what is read from here on is no longer parsed
+    assert "regexp_extract" not in plan_of(index.select("case_key"))

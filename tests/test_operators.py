@@ -394,3 +394,29 @@ def test_tables_by_case_are_indexed_without_a_shuffle(spark):
     gone = [(r["change_type"], r["fact_hash"]) for r in remove.collect()]
     want = [("deleted_case_remove" if r[0] == "c5" else "changed_case_remove", r[4]) for r in rows if r[4] not in ("f0003", "f0010") and (r[0] == "c5" or r[4] >= "f0020")]
     assert sorted(gone) == sorted(want)
+
+
+def test_best_pairs_take_little_memory_and_ties_by_row():
+    import tracemalloc
+
+    import numpy as np
+
+    from tripleloom.operators import vectors as VEC
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(5000, 8))
+    vectors[2000:2600] = vectors[17]  # equal vectors
+    asked = np.concatenate([vectors[:300], rng.normal(size=(3700, 8))])
+    tracemalloc.start()
+    q, row, score = VEC.best_pairs(asked, vectors, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.stack([(asked * v).sum(axis=1) for v in vectors], axis=1)
+    exact[:, 2000:2600] = exact[:, [17]]
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :3]
+    assert q.tolist() == np.repeat(np.arange(4000), 3).tolist() and (row.reshape(-1, 3) == want).all()
+    assert np.allclose(score.reshape(-1, 3), np.take_along_axis(exact, want, 1))
+    # all products at once would take 160 MB
+    assert peak < 60e6
+    few = VEC.best_pairs(asked[:2], vectors[:2], 3)
+    assert few[0].tolist() == [0, 0, 1, 1]

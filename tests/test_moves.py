@@ -105,3 +105,38 @@ def test_cases_are_parsed_once_and_only_repeated_ones_are_numbered(spark):
     assert len(told) == len(set(told)) and (3, "p (ON)", "预期值", "ON") in told
     # the cases are written once: what is read from here on is no longer parsed
     assert "regexp_extract" not in plan_of(index.select("case_key"))
+
+
+def test_pending_records_are_applied_where_their_case_is(spark):
+    from tripleloom.operators import versioning as I
+    from tripleloom.session import materialise
+
+    types = ", ".join(f"{c} {'int' if c == 'row' else 'string'}" for c in I.TRIPLE_COLUMNS)
+
+    def fact(file, case, name, row=1):
+        return ("v", file, "k", file, "s", "d", row, "id", "n", "a", case, name, "R", name, f"#{name}")
+
+    def pending(kind, change, *facts):
+        return spark.createDataFrame([(kind, change, *f) for f in facts], f"record_type string, change_type string, {types}")
+
+    tables = spark.createDataFrame([fact("old", "c", x) for x in "abcc"] + [fact("old", "z", "a")], types)
+    add = pending("triple", "x", fact("new", "c", "b"), fact("new", "c", "d"), fact("new", "c", "a"), fact("new", "n", "e"), fact("new", "n", "e", 0))
+    remove = pending("triple", "x", fact("old", "c", "a"), fact("old", "q", "a"))
+    changed = add.where("head = 'd'").select(
+        "record_type", "change_type", *I.PROVENANCE, "case_key", F.struct(F.lit("c").alias("head"), "relation", F.lit("c").alias("tail"), F.lit("#c").alias("fact_hash")).alias("old_triple"),
+        F.struct("head", "relation", "tail", "fact_hash").alias("new_triple"),
+    )
+    changed = changed.unionByName(changed.withColumn("case_key", F.lit("alone")))
+    frames = [materialise(df, "case_key") for df in (tables, add, remove, changed)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        triples, index = I.apply_pending(*frames)
+        assert "Exchange" not in plan_of(triples) and "Exchange" not in plan_of(index)
+        got = sorted((r.case_key, r.head, r.source_file, r.row) for r in triples.collect())
+        # a comes back, c is replaced by d, b stays; a case takes the metadata of what came last
+        assert got == [("alone", "d", "new", 1), ("c", "a", "new", 1), ("c", "b", "new", 1), ("c", "d", "new", 1), ("n", "e", "new", 1), ("z", "a", "old", 1)]
+        assert sorted((r.case_key, r.fact_count) for r in index.collect()) == [("alone", 1), ("c", 3), ("n", 1), ("z", 1)]
+        assert {r.case_key for r in I.apply_pending(*frames[:3])[0].collect()} == {"c", "n", "z"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

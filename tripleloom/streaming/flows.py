@@ -37,15 +37,17 @@ def apply_candidate(spark: SparkSession, candidate: DataFrame, root: str, versio
     if newest is not None and newest >= version:
         return
     current = read_version(spark, root)
-    candidate = materialise(candidate)
     if current is None:
+        candidate = materialise(candidate)
         write_version(I.as_current(candidate), root, version)
         return
-    cand_index, cur_index = materialise(I.rebuild_index(candidate)), materialise(I.rebuild_index(current))
+    # both versions move to their cases once
+    candidate, current = (materialise(df.repartition("case_key"), "case_key") for df in (candidate, current))
+    cand_index, cur_index = I.rebuild_index(candidate), I.rebuild_index(current)
     matches = materialise(I.match_cases(cand_index, cur_index))
-    add, remove = I.diff(candidate, cand_index, current, cur_index, matches)
-    add, remove = materialise(add), materialise(remove)
-    changed = I.pending_changed(I.changed_pairs(remove, add), cand_index, matches)
+    add, remove = I.diff(candidate, cand_index, current, cur_index, matches, hashes=False)
+    add, remove = (materialise(df.drop("previous_case_fact_hashes", "incoming_case_fact_hashes"), "case_key") for df in (add, remove))
+    changed = materialise(I.pending_changed(I.changed_pairs(remove, add), cand_index, matches), "case_key")
     triples, _ = I.apply_pending(current, add, remove, changed)
     write_version(triples, root, version)
 

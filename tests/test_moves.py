@@ -140,3 +140,23 @@ def test_pending_records_are_applied_where_their_case_is(spark):
         assert {r.case_key for r in I.apply_pending(*frames[:3])[0].collect()} == {"c", "n", "z"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_signal_columns_are_found_by_the_header_of_their_table(spark):
+    header = ["Signal Name", "发送方", "", "信号编码", "发送方"]
+    cells = [["s1", "A", "x", "E1", "B"], ["s2", "A", "x", "E2"], ["", "A", "x", "E3", ""], ["", "", "", "", ""], ["s5", "A", "x", "E5", "", "over"]]
+    rows = [("d", "1", "t", 1, i, r) for i, r in enumerate([header, *cells], 1)] + [("d", "1", "t", 2, i, r) for i, r in enumerate([["备注"], ["n"]], 1)]
+    tables = spark.createDataFrame(rows, "document_id string, section_id string, section_title string, table_no long, row_no long, cells array<string>")
+    out = D.signals(D.by_section(tables, KEYS[:3]), placed=True)
+    assert "Window" not in plan_of(out) and "Exchange" not in plan_of(out)
+    got = sorted((r.row_index, r.name, r.sender, r.encoding, len(r.raw)) for r in out.collect())
+    # the last cell of a repeated column counts, blank or not
+    assert got == [(1, "s1", "B", "E1", 4), (2, "s2", "A", "E2", 4), (5, "s5", "", "E5", 5)]
+
+
+def test_usual_references_are_resolved_once(spark):
+    texts = ["a &amp;lt; b &gt; c &lt; &quot;", "&amp;amp; &eacute;x", "&&amp;", "no"]
+    html = [f"<table><tr><td>{t}</td></tr></table>" for t in texts]
+    df = spark.createDataFrame([(str(i), h) for i, h in enumerate(html)], "section_id string, content string")
+    got = {r.section_id: r.cells for r in D.extract_tables(df, ["section_id"]).collect()}
+    assert got == {"0": ['a &lt; b > c < "'], "1": ["&amp; éx"], "2": ["&&"], "3": ["no"]}

@@ -160,3 +160,28 @@ def test_usual_references_are_resolved_once(spark):
     df = spark.createDataFrame([(str(i), h) for i, h in enumerate(html)], "section_id string, content string")
     got = {r.section_id: r.cells for r in D.extract_tables(df, ["section_id"]).collect()}
     assert got == {"0": ['a &lt; b > c < "'], "1": ["&amp; éx"], "2": ["&&"], "3": ["no"]}
+
+
+def test_lexical_rows_are_not_sent_to_every_task(spark):
+    from tripleloom.operators import lexical as L
+
+    rows = [(i, "doc", f"bolt {i} red", "MADE_BY", f"brand {i % 7}", ["p"], False, "") for i in range(300)]
+    triples = spark.createDataFrame(rows, "row_id long, doc_name string, head string, relation string, tail string, sources array<string>, conflict boolean, conflict_note string")
+    queries = spark.createDataFrame([(f"q{i}", f"check bolt {i} made_by brand {i % 7}") for i in range(20)], "query_id string, query string")
+    sent, plans, scored = L.SENT, [], L._raw_scores
+
+    def kept(met):
+        plans.append(plan_of(met))
+        return scored(met)
+
+    L._raw_scores = kept
+    try:
+        few = sorted(map(str, L.lexical_triples(queries, triples).collect()))
+        assert len(plans) == 2
+        for plan in plans:
+            # what is sent are the questions; the rows, which hold _held, are dealt
+            assert plan.count("BuildRight") >= 2 and "BuildLeft" not in plan
+        L.SENT = 0
+        assert few == sorted(map(str, L.lexical_triples(queries, triples).collect()))
+    finally:
+        L.SENT, L._raw_scores = sent, scored

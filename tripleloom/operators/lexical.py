@@ -12,6 +12,8 @@ from .scale import first_per_key, top_k_per_key
 
 #: Features of a query that give a first best score.
 PROBES = 3
+#: Features of questions, asked or opened, that are sent to every task.
+SENT = 500_000
 RECORD = ["doc_name", "head", "relation", "tail"]
 #: What a field of a row adds if the query holds it (as it is, without blanks), or if it holds the query.
 IN_QUERY, IN_SHORT, HOLDS = 3.0, 3.0, 4.0
@@ -59,7 +61,8 @@ def lexical_triples(
     tokens = records.select("_row", "_tokens").repartition("_row").select("_row", F.explode("_tokens").alias("token"))
     weights = tokens.join(groups, "token").groupBy("_row", "feature").agg(F.sum("weight").alias("weight"))
     held = weights.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_held"))
-    rows = materialise(records.drop("_tokens").withColumns(_forms(*RECORD)).join(held, "_row"))
+    # a table that is small on disk is not for that sent to every task
+    rows = materialise(records.drop("_tokens").withColumns(_forms(*RECORD)).hint("merge").join(held, "_row"))
     lengths = rows.select(F.explode(F.map_keys("_held")).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
     known = materialise(features.join(lengths, "feature"))
     named = known.groupBy("query_id").agg(F.collect_list("feature").alias("_asked"))
@@ -120,16 +123,26 @@ def _extra(value: str) -> Column:
 def _scored(rows: DataFrame, questions: DataFrame, opened: DataFrame) -> DataFrame:
     """Pairs of a row and a question that have one of the question's opened features, with raw_score; opened: query_id, feature.
 
-    Each pair is met once, and is scored where it is met. Long lists are dealt in parts by row; both sides are dealt to all tasks, as
-    they make far more pairs than their size tells, whichever of them is small enough to be sent to every task.
+    Each pair is met once, and is scored where it is met.  Questions with up to ``SENT`` features in all go to every task, and rows stay
+    where they are.  With more, long lists are dealt in parts by row; both sides are dealt to all tasks, as they make far more pairs
+    than their size tells.
     """
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lists = opened.groupBy("query_id").agg(F.array_sort(F.collect_list("feature")).alias("_open"))
+    lists = materialise(opened.groupBy("query_id").agg(F.array_sort(F.collect_list("feature")).alias("_open")))
+    told = questions.join(lists, "query_id")
+    if (told.agg(F.sum(F.size("_open") + F.size("_asked"))).first()[0] or 0) <= SENT:
+        filed = rows.repartition(tasks, "_row").withColumn("_keys", F.map_keys("_held")).withColumn("feature", F.explode("_keys"))
+        wanted = lists.select("query_id", F.explode("_open").alias("feature"))
+        return _raw_scores(filed.join(F.broadcast(wanted), "feature").join(F.broadcast(told), "query_id"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))
-    asks = questions.join(lists, "query_id").withColumn("feature", F.explode("_open")).withColumn("_part", parts)
+    asks = told.withColumn("feature", F.explode("_open")).withColumn("_part", parts)
     filed = rows.repartition(tasks, "_row").withColumns({"_part": F.pmod(F.xxhash64("_row"), F.lit(SPLIT)).cast("int"), "_keys": F.map_keys("_held")})
-    met = filed.withColumn("feature", F.explode("_keys")).join(asks.repartition(tasks, "feature", "_part"), ["feature", "_part"])
+    return _raw_scores(filed.withColumn("feature", F.explode("_keys")).join(asks.repartition(tasks, "feature", "_part"), ["feature", "_part"]))
+
+
+def _raw_scores(met: DataFrame) -> DataFrame:
+    """The rows and questions that met, each pair once, with raw_score."""
     once = met.where(F.get(F.array_intersect("_open", "_keys"), F.lit(0)) == F.col("feature"))
     shared = F.aggregate("_asked", F.lit(0.0), lambda total, f: total + F.coalesce(F.try_element_at("_held", f), F.lit(0.0)))
     extra = sum((_extra(c) for c in [*RECORD[1:], RECORD[0]]), F.lit(0.0))
